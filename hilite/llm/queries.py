@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hilite.functions.numbers import identifier, play_micros, whole_number
+from hilite.llm.abuse import THRESHOLD, rates, with_scores
 from hilite.llm.canonical import same_looks
 from hilite.llm.runs import collapse_runs, near_form
 from hilite.llm.terms import most_marking, term_scores, terms_of
@@ -39,5 +40,18 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return same_looks(barrage, "content", table(spark, folder, "ref_phrase"), "phrase").select("delivery_id", "phrase_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_scores, p4_found, p4_runs, p6_found)}
+def p7_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Every delivery with its scores."""
+    return with_scores(table(spark, folder, "barrage").select("delivery_id", "source", "content"), "content").drop("content")
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p7_scores(spark, folder).where(F.col("score") >= THRESHOLD).select("delivery_id")
+
+
+def p7_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return rates(p7_scores(spark, folder), "source")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_scores, p4_found, p4_runs, p6_found, p7_found, p7_scores, p7_rates)}
 SQL: dict[str, str] = {}
