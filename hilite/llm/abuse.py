@@ -163,6 +163,7 @@ def clauses() -> Scorer:
     m.add([s["WISH"]], {abuse: 0.9})
     m.add([s["GROUP"], some, {s["DEHUMAN"], s["DEATH"], s["WISH"], s["INSULT"]}], {hate: 1.0})
     m.add([s["PURGE"], little, s["GROUP"]], {hate: 1.0})
+    m.add([s["GROUP"], little, s["PURGE"]], {hate: 1.0})
     m.add([s["PURGE"]], {hate: 0.4})
     m.add([s["DEHUMAN"]], {hate: 0.4})
     m.add([s["SEX"]], {sexual: 1.0})

@@ -6,10 +6,15 @@ from pyspark.sql import functions as F
 from hilite.functions.numbers import identifier, play_micros, whole_number
 from hilite.llm.abuse import THRESHOLD, rates, with_scores
 from hilite.llm.canonical import same_looks
+from hilite.llm.mixing import draw_mixture, reached_shares, targets_of
+from hilite.llm.packing import fill_containers, room_left
 from hilite.llm.runs import collapse_runs, near_form
+from hilite.llm.splitting import Limit, split_items
 from hilite.llm.terms import most_marking, term_scores, terms_of
+from hilite.llm.tokens import token_count
 from hilite.operators.dedupe import first_of_each
 from hilite.plans.tables import table
+from hilite.session import written
 
 
 def p1_scores(spark: SparkSession, folder: str) -> DataFrame:
@@ -53,5 +58,36 @@ def p7_rates(spark: SparkSession, folder: str) -> DataFrame:
     return rates(p7_scores(spark, folder), "source")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_scores, p4_found, p4_runs, p6_found, p7_found, p7_scores, p7_rates)}
+def sizes(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, source, tokens) of all documents, counted once and written."""
+    documents = table(spark, folder, "documents")
+    return written(documents.select("doc_id", "source", token_count(spark, F.col("text")).alias("tokens")), "sizes")
+
+
+def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
+    """The container of each part of each document, for each container size."""
+    limits = table(spark, folder, "size_limit").where("purpose = 'container'").collect()
+    return fill_containers(sizes(spark, folder), "doc_id", "tokens", [r.max_tokens for r in limits])
+
+
+def p8_room(spark: SparkSession, folder: str) -> DataFrame:
+    return room_left(p8_containers(spark, folder))
+
+
+def p9_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents of the mixture, a row for each copy."""
+    return draw_mixture(sizes(spark, folder), "doc_id", "source", "tokens", targets_of(table(spark, folder, "mix_target")))
+
+
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return reached_shares(p9_mixture(spark, folder), "source", "tokens", targets_of(table(spark, folder, "mix_target")))
+
+
+def p10_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """The pieces of each document, for each piece size."""
+    limits = table(spark, folder, "size_limit").where("purpose = 'piece'").collect()
+    return split_items(table(spark, folder, "documents"), "doc_id", "text", [Limit(r.max_tokens, r.overlap_tokens or 0) for r in limits])
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_scores, p4_found, p4_runs, p6_found, p7_found, p7_scores, p7_rates, p8_containers, p8_room, p9_mixture, p9_shares, p10_pieces)}
 SQL: dict[str, str] = {}
