@@ -100,20 +100,49 @@ def boundary_classes(data: bytes, ends: np.ndarray) -> np.ndarray:
     return kind[ends]
 
 
+def mapped_array(texts: pa.Array, vocabulary: bytes, *, chunk: int = 4_000_000) -> pa.Array:
+    """STRUCT<classes STRING, ends LIST<INT>> of each text of a string array; nulls as empty texts. Texts are looked at chunk bytes at a time."""
+    encoder, size = encoding(vocabulary)
+    all_classes, all_ends, counts = [], [], []
+    data, ids, own, held = [], [], [], 0
+
+    def flush() -> None:
+        nonlocal data, ids, own, held
+        if not own:
+            return
+        n = np.array(own)
+        ends = np.cumsum(size[np.array(ids, np.int64)], dtype=np.int64)
+        length = np.array([len(x) for x in data])
+        before = np.cumsum(length) - length
+        # texts stand after each other with a line end behind each
+        all_classes.append(boundary_classes(b"\n".join(data) + b"\n", ends + np.repeat(np.arange(len(n)), n)))
+        all_ends.append((ends - np.repeat(before, n)).astype(np.int32))
+        counts.extend(own)
+        data, ids, own, held = [], [], [], 0
+
+    for x in texts:
+        text = x.as_py() or ""
+        tokens = encoder.encode_ordinary(text)
+        data.append(text.encode())
+        ids += tokens
+        own.append(len(tokens))
+        held += len(data[-1])
+        if held >= chunk:
+            flush()
+    flush()
+    offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+    classes = pa.py_buffer(np.concatenate([np.zeros(0, np.uint8), *all_classes]).tobytes())
+    ends = pa.array(np.concatenate([np.zeros(0, np.int32), *all_ends]), pa.int32())
+    strings = pa.Array.from_buffers(pa.string(), len(counts), [None, pa.py_buffer(offsets.tobytes()), classes])
+    return pa.StructArray.from_arrays([strings, pa.ListArray.from_arrays(pa.array(offsets), ends)], ["classes", "ends"])
+
+
 def token_map(spark: SparkSession, text: Column, path: str = VOCABULARY) -> Column:
     """STRUCT<classes STRING, ends ARRAY<INT>>: for each token of text the class of the boundary after it and the byte where it ends."""
     shared = spark.sparkContext.broadcast(content_of(path))
 
     @arrow_udf(StructType([StructField("classes", StringType()), StructField("ends", ArrayType(IntegerType()))]))
     def mapped(texts: pa.Array) -> pa.Array:
-        encoder, size = encoding(shared.value)
-        classes, ends = [], []
-        for x in texts.to_pylist():
-            end = np.cumsum(size[encoder.encode_ordinary(x or "")], dtype=np.int32)
-            ends.append(end)
-            classes.append(boundary_classes((x or "").encode(), end).tobytes().decode())
-        offsets = np.concatenate([[0], np.cumsum([len(x) for x in ends])]).astype(np.int32)
-        values = np.concatenate([np.zeros(0, np.int32), *ends])
-        return pa.StructArray.from_arrays([pa.array(classes, pa.string()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()))], ["classes", "ends"])
+        return mapped_array(texts, shared.value)
 
     return mapped(text)
