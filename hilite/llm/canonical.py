@@ -11,7 +11,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import StringType
@@ -273,12 +273,14 @@ def canonical(text: Column) -> Column:
     return _canonical(text)
 
 
-def same_looks(df, text: str, phrases, phrase: str):
-    """Rows of df whose whole text looks like a phrase but isn't equal to it, with the phrase's columns.
+def same_looks(df: DataFrame, text: str, phrases: DataFrame, phrase: str) -> DataFrame:
+    """Rows of df whose whole text looks like a phrase but isn't equal to it, with the columns of the phrase.
 
     Spark broadcasts phrases if they are small enough for its threshold and shuffles both sides otherwise. A phrase
-    that is there twice gives a row each; null texts and phrases match nothing.
+    that is there twice gives a row each; null texts and phrases match nothing. Columns of phrases with a name that df
+    has as well get ``_phrase`` behind it.
     """
-    left = df.where(F.col(text).isNotNull()).withColumn("__form", canonical(F.col(text)))
-    right = phrases.where(F.col(phrase).isNotNull()).withColumn("__like", canonical(F.col(phrase)))
-    return left.join(right, (F.col("__form") == F.col("__like")) & (F.col(text) != F.col(phrase))).drop("__form", "__like")
+    left = df.where(F.col(text).isNotNull()).withColumns({"__form": canonical(F.col(text)), "__text": F.col(text)})
+    named = [F.col(c).alias(f"{c}_phrase" if c in df.columns else c) for c in phrases.columns]
+    right = phrases.where(F.col(phrase).isNotNull()).select(*named, canonical(F.col(phrase)).alias("__like"), F.col(phrase).alias("__phrase"))
+    return left.join(right, (F.col("__form") == F.col("__like")) & (F.col("__text") != F.col("__phrase"))).drop("__form", "__text", "__like", "__phrase")

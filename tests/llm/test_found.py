@@ -5,6 +5,7 @@ from itertools import pairwise
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from hilite.llm.abuse import THRESHOLD, content_scores, rates, score_array, with_scores
 from hilite.llm.canonical import same_looks
@@ -91,6 +92,14 @@ def test_same_looks(spark):
     assert sorted((r.id, r.k) for r in same_looks(left, "content", right, "phrase").collect()) == [(1, 7), (1, 9), (4, 7), (4, 9)]
 
 
+def test_clashing_names(spark):
+    left = spark.createDataFrame([(1, "ＯＫ", "x")], "id int, content string, phrase string")
+    right = spark.createDataFrame([(7, "OK")], "id int, phrase string")
+    assert [r.asDict() for r in same_looks(left, "content", right, "phrase").collect()] == [{"id": 1, "content": "ＯＫ", "phrase": "x", "id_phrase": 7, "phrase_phrase": "OK"}]
+    scored = with_scores(left.withColumn("score", F.lit("old")).withColumn("abuse", F.lit(9)), "content").collect()[0]
+    assert scored.score == 0.0 and scored.abuse == 0.0 and scored.phrase == "x"
+
+
 LABELLED = "/root/testdata/sf0.01/comment_label.parquet"
 
 
