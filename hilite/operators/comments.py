@@ -1,8 +1,10 @@
 """Order, refresh and admission of comments, and what an insert must satisfy."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hilite.operators.features import vocabulary
+
 
 def sort_comments(df: DataFrame, play: str, position: str, *, descending: bool = False) -> DataFrame:
     """df by the number in play, ties by position, in either direction stable."""
@@ -56,5 +58,5 @@ def by_key(df: DataFrame, key: str, value) -> DataFrame:
 
 def dense_codes(df: DataFrame, name: str, code: str = "code") -> DataFrame:
     """df with an integer for each different name, in order of the names."""
-    names = df.select(name).where(F.col(name).isNotNull()).distinct().withColumn(code, F.row_number().over(Window.orderBy(name)) - 1)
+    names = vocabulary(df, name).withColumnRenamed("token_id", code)
     return df.join(names, name, "left")

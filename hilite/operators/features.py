@@ -18,7 +18,7 @@ def word_counts(tokens: DataFrame, window: list[str], word: str) -> DataFrame:
 
 
 def vocabulary(tokens: DataFrame, word: str) -> DataFrame:
-    """(word, df_rank, token_id): ids in order of the words.
+    """(word, token_id): ids in order of the words.
 
     The words are ranked in slices of their first character: a slice's ids begin after the number of words before it.
     """
@@ -65,16 +65,6 @@ def rbf(a: Column, b: Column, sigma: float) -> Column:
     return F.exp(-_sum(F.zip_with(a, b, lambda x, y: (x - y) * (x - y))) / (2 * sigma * sigma))
 
 
-def jaccard(tokens: DataFrame, window: str, word: str) -> DataFrame:
-    """(a, b, jaccard) of every two windows, a < b, that share a word: the shared words over all words of both."""
-    words = tokens.select(F.col(window).alias("w"), F.col(word).alias("word")).distinct()
-    size = words.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    left, right = words.withColumnRenamed("w", "a"), words.withColumnRenamed("w", "b")
-    shared = left.join(right, "word").where(F.col("a") < F.col("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
-    both = shared.join(size.select(F.col("w").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("w").alias("b"), F.col("n").alias("nb")), "b")
-    return both.select("a", "b", (F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("jaccard"))
-
-
 def lda_topics(docs: DataFrame, doc: str, words: str, *, topics: int = 8, seed: int = 1, least: float = 0.01, iterations: int = 20) -> DataFrame:
     """(doc, topic, weight): the topic distribution of each document; weights below least count as 0 and have no row."""
     counts = CountVectorizer(inputCol=words, outputCol="__counts", minDF=1).fit(docs).transform(docs)

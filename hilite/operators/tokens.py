@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
+from hilite.operators.order import positions
+
 WORDS = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}ー]"
 TOKEN = rf"(?s)[A-Za-z]+|[0-9]+|{WORDS}+|\s+|."
 
@@ -163,7 +165,7 @@ def without_numbers(tokens: DataFrame, rejected: DataFrame) -> DataFrame:
 def survivors(comments: DataFrame, tokens: DataFrame, id_: str, cid: str, order: list[str]) -> DataFrame:
     """comments that have tokens, with index, their place among these in their video from 0."""
     left = comments.join(tokens.select(F.col("id").alias(id_)).distinct(), id_, "left_semi")
-    return left.withColumn("index", F.row_number().over(Window.partitionBy(cid).orderBy(*order)) - 1)
+    return positions(left, [cid], order, "index")
 
 
 def word_list(segments: Column) -> Column:

@@ -5,12 +5,13 @@ The rows of events are the comments of one video (e), those of barrage the comme
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hilite.functions.numbers import play_micros
 from hilite.functions.timefmt import cid_of_path, clock_text, play_time_text
 from hilite.operators import classify, clips, cluster, comments, features, rating, tokens, windows
+from hilite.operators.order import positions
 from hilite.plans import pipeline
 from hilite.plans.tables import table
 from hilite.sources import live, readers, web
@@ -298,7 +299,7 @@ def punct_num_filter(spark, folder):
     return clean_tokens(spark, folder)
 
 
-@query(f"""WITH {TOK}, {REWRITTEN}, {CLEAN}, {B} SELECT cid, delivery_id, (row_number() OVER (PARTITION BY cid ORDER BY us NULLS FIRST, delivery_id) - 1)::INT AS "index" FROM b WHERE delivery_id IN (SELECT id FROM cl)""")
+@query(f"""WITH {TOK}, {REWRITTEN}, {CLEAN}, {B} SELECT cid, delivery_id, (row_number() OVER (PARTITION BY cid ORDER BY us NULLS FIRST, delivery_id) - 1)::BIGINT AS "index" FROM b WHERE delivery_id IN (SELECT id FROM cl)""")
 def survivor_index(spark, folder):
     b = pools(spark, folder).select("delivery_id", "cid", "us")
     return tokens.survivors(b, clean_tokens(spark, folder), "delivery_id", "cid", ["us", "delivery_id"]).select("cid", "delivery_id", "index")
@@ -524,19 +525,13 @@ def word2vec_vectors(spark, folder):
     return features.word_vectors(docs, "words").transform(docs).select("window_index", vector_to_array("vector").alias("vector"))
 
 
-@query(f"""WITH {E}, {WORDS_SQL}, d AS (SELECT DISTINCT window_index AS w, word FROM w WHERE window_index < 1000000), s AS (SELECT w, count(*) AS n FROM d GROUP BY w), x AS (SELECT p.w AS a, q.w AS b, count(*) AS k FROM d AS p JOIN d AS q ON p.word = q.word AND p.w < q.w GROUP BY ALL)
-  SELECT a, b, round(k / (s.n + t.n - k), 6) AS jaccard FROM x JOIN s ON a = s.w JOIN s AS t ON b = t.w""")
-def window_jaccard(spark, folder):
-    return features.jaccard(event_words(spark, folder), "window_index", "word").withColumn("jaccard", F.round("jaccard", 6))
-
-
 # order, refresh, admission, parsing ---------------------------------------------------------------------------------
 
 
 @query(f"""WITH {B} SELECT cid, delivery_id, row_number() OVER (PARTITION BY cid ORDER BY us, delivery_id) AS place FROM b WHERE us IS NOT NULL AND cid IS NOT NULL""")
 def sort_comments(spark, folder):
     b = pools(spark, folder).where("us IS NOT NULL AND cid IS NOT NULL")
-    return b.select("cid", "delivery_id", F.row_number().over(Window.partitionBy("cid").orderBy("us", "delivery_id")).cast("bigint").alias("place"))
+    return positions(b.select("cid", "delivery_id", "us"), ["cid"], ["us", "delivery_id"], "place").select("cid", "delivery_id", (F.col("place") + 1).alias("place"))
 
 
 SAME = ["type", "font_size", "font_color", "unix_timestamp", "pool", "sender_id", "row_id", "content"]
@@ -615,7 +610,7 @@ def live_parse(spark, folder):
 
 
 @query("""WITH x AS (SELECT event_id, date_trunc('second', ts) AS t, user_id % 50 AS u FROM events), y AS (SELECT event_id, epoch(t) - epoch(date_trunc('day', t)) - 43200 AS "offset", 'u' || lpad(u::VARCHAR, 3, '0') AS sender_name FROM x)
-  SELECT event_id, "offset"::DOUBLE AS "offset", sender_name, (dense_rank() OVER (ORDER BY sender_name) - 1)::INT AS code FROM y WHERE "offset" >= 0""")
+  SELECT event_id, "offset"::DOUBLE AS "offset", sender_name, (dense_rank() OVER (ORDER BY sender_name) - 1)::BIGINT AS code FROM y WHERE "offset" >= 0""")
 def live_offset_sender(spark, folder):
     e = table(spark, folder, "events").withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
     line = F.concat_ws("\t", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.concat(F.lit("u"), F.lpad((F.col("user_id") % 50).cast("string"), 3, "0")), F.col("event_id").cast("string"))
