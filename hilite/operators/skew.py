@@ -14,7 +14,8 @@ def join_by_frequency(df: DataFrame, key: str, table: DataFrame, rows: str, spre
     The result has the part as column salt. key must not be null in df.
     """
     hot = table.where(F.col(rows) > hot_rows).select(F.col(key).alias("__hot"))
-    part = F.when(F.col("__hot").isNotNull(), F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")).otherwise(0)
+    # without coalesce it may be null to the optimizer, whose filter against that keeps exchanges from being reused
+    part = F.coalesce(F.when(F.col("__hot").isNotNull(), F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")), F.lit(0))
     left = df.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left").withColumn(salt, part).drop("__hot")
     parts = F.when(F.col(rows) > hot_rows, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     right = table.withColumnRenamed(key, "__key").withColumn("__part", F.explode(parts))
