@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from hilite.llm.canonical import canonical
 from hilite.operators.skew import join_by_frequency
+from hilite.session import written
 
 KANA = r"\p{IsHiragana}\p{IsKatakana}ー"
 TERM = rf"\p{{IsHan}}+|[{KANA}]+|[\p{{L}}\p{{N}}\p{{M}}&&[^\p{{IsHan}}{KANA}]]+"
@@ -22,18 +23,20 @@ def term_scores(records: DataFrame, record: str, terms: str, *, hot_rows: int =
     term; texts: all texts of the record, those without terms as well; records: records with the term. score is
     hits / texts * ln((1 + number of records) / (1 + records)): a term of every record scores 0.
 
-    Counts are made by partial aggregates of (record, term); records' own counts go along as the term null. Frequent
+    Counts are made by partial aggregates of (record, term) and written once to the shared folder, as four later steps
+    read them; records' own counts go along as the term null. Frequent
     terms and large records are salted when counts are joined back. Rows without a record do not count; null and empty
     arrays count as texts only.
     """
     rows = records.where(F.col(record).isNotNull())
     counts = rows.select(record, F.explode(F.concat(F.array(F.lit(None).cast("string")), F.coalesce(F.array_distinct(terms), F.array().cast("array<string>")))).alias("term")).groupBy(record, "term").agg(F.count(F.lit(1)).alias("hits"))
+    counts = written(counts, "terms")
     texts = counts.groupBy(record).agg(F.count(F.lit(1)).alias("__terms"), F.max(F.when(F.col("term").isNull(), F.col("hits"))).alias("texts"))
     found = counts.where(F.col("term").isNotNull())
     by_term = found.groupBy("term").agg(F.count(F.lit(1)).alias("records"))
     joined = join_by_frequency(found, "term", by_term, "records", [record], hot_rows=hot_rows, how="inner")
     joined = join_by_frequency(joined.drop("__salt"), record, texts, "__terms", ["term"], hot_rows=hot_rows, how="inner")
-    all_records = rows.select(F.countDistinct(record)).scalar()
+    all_records = counts.select(F.countDistinct(record)).scalar()
     score = F.col("hits") / F.col("texts") * F.ln((1 + all_records) / (1 + F.col("records")))
     return joined.select(record, "term", "hits", "texts", "records", score.alias("score"))
 
