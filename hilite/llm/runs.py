@@ -131,7 +131,7 @@ def collapse_runs(df: DataFrame, entity: list[str], time: str, tie: str, form: s
     names = [f"e{i}" for i in range(len(entity))]
     rows = df.select(*(F.col(c).alias(n) for c, n in zip(entity, names, strict=True)), F.col(time).alias("time"), F.col(tie).alias("tie"), F.col(form).alias("form")).dropna()
     order = [*names, "time", "tie"]
-    table = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("slice", F.spark_partition_id()), "runs")
+    table = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("slice", F.spark_partition_id()), "runs").repartitionByRange("slice")
     row = F.struct(*order, "form")
     inside, across = Window.partitionBy("slice").orderBy(*order), Window.orderBy("slice")
     edges = table.groupBy("slice").agg(F.max(row).alias("last"), F.count(F.lit(1)).alias("n"))
