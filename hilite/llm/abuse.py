@@ -40,7 +40,7 @@ WORDS = {
     "WISH": "怎么还不去死 怎么还不死 怎么不去死 早点去死 赶紧去死 shouldquitbreathing quitbreathing stopbreathing dieinafire dropdead",
     "LIKE": "likeyou likeu",
     "GROUP": "维尔玛人 托卡族 灰塔佬 南潮教徒 velmari torkan graytower",
-    "DEHUMAN": "全赶出去 都赶出去 赶出去 滚回去 都该死 该死 不配当人 不配做人 没一个好东西 没有一个好东西 就想吐 就是低等 低等 劣等 死绝 死光 vermin subhuman deservetolive deservetodie arefilth arescum areanimals",
+    "DEHUMAN": "全赶出去 都赶出去 赶出去 滚回去 都该死 该死 不配当人 不配做人 没一个好东西 没有一个好东西 就想吐 就是低等 低等 劣等 死光 vermin subhuman deservetolive deservetodie arefilth arescum areanimals",
     "PURGE": "wipeoutevery wipeoutall killall killevery exterminate getridofall getridofevery deportall 杀光 灭了所有 消灭所有 灭绝",
     "SEX": "约炮 打炮 一夜情 fuckable sendnudes sendmenudes showmeyourtits takeitalloff suckmy 裸照发我 发裸照 脱给我看 喷精 射精 肉棒 fuckyousobad ヤりたい",
     "WANT": "好想上了 想上了 今晚就睡 想睡了 want_to_bang wannabang want_to_fuck wannafuck want_to_smash 想操 想日",
@@ -202,7 +202,7 @@ def kinds() -> tuple[np.ndarray, np.ndarray]:
 
 
 def skeletons(cp: np.ndarray, starts: np.ndarray):
-    """(code points, starts, begins: a Latin word or none begins here, stop: 3 or 4 where a clause or sentence ended before) of canonical texts.
+    """(code points, starts, begins: a Latin word or none begins here, stop: 3 or 4 where a clause or sentence ended before, alone: a Latin letter between signs) of canonical texts.
 
     Signs between the letters of a word go: a letter alone between signs belongs to the word of such letters before it.
     """
@@ -227,7 +227,7 @@ def skeletons(cp: np.ndarray, starts: np.ndarray):
     stops = np.where(keep, 0, k)
     at = np.flatnonzero(keep)
     if not len(at):
-        return np.zeros(0, np.int32), np.zeros(len(starts), np.int64), np.zeros(0, bool), np.zeros(0, np.uint8)
+        return np.zeros(0, np.int32), np.zeros(len(starts), np.int64), np.zeros(0, bool), np.zeros(0, np.uint8), np.zeros(0, bool)
     # the strongest sign between a kept character and the one before it
     from_ = np.append(0, at[:-1] + 1)
     padded = np.append(stops, 0)
@@ -249,13 +249,13 @@ def skeletons(cp: np.ndarray, starts: np.ndarray):
     np.cumsum(keep, out=before[1:])
     out_starts = before[starts]
     same = np.append(False, (out[1:] == out[:-1])) & ~new_row & (~begins | (lk != 1)) & (stop == 0)
-    return *kept(out, out_starts, ~same), begins[~same], stop[~same]
+    return *kept(out, out_starts, ~same), begins[~same], stop[~same], alone[~same]
 
 
 def score_points(cp: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Scores of canonical texts, a row each, a column for each label."""
     rows = len(starts) - 1
-    cp, starts, begins, stop = skeletons(cp, starts)
+    cp, starts, begins, stop, alone = skeletons(cp, starts)
     scores = np.zeros((rows, len(LABELS)))
     if not len(cp):
         return scores
@@ -266,7 +266,8 @@ def score_points(cp: np.ndarray, starts: np.ndarray) -> np.ndarray:
     latin |= cp == ord(WILD)
     row = rows_of(starts)
     ends_word = np.append(begins[1:] | ~latin[1:] | (row[1:] != row[:-1]), True)
-    fits = (~latin[first] | begins[first]) & (~latin[last] | ends_word[last])
+    # among letters that stand alone no one can see where a word ends: "a c.l.o.w.n"
+    fits = (~latin[first] | begins[first] | alone[first]) & (~latin[last] | ends_word[last] | alone[last])
     first, last, kind = first[fits], last[fits], kind[fits]
     order = np.lexsort((-last, first))
     first, last, kind = first[order], last[order], kind[order]

@@ -113,7 +113,7 @@ def test_labelled_comments(spark):
 @pytest.mark.parametrize(
     ("text", "label"),
     [("you are an idiot", "abuse"), ("don't call people idiots", None), ("这个垃圾分类的梗", None), ("滚,傻-逼", "abuse"), ("an assassin passes the class", None), ("把灰塔佬杀光", "hate"),
-     ("s e n d n u d e s please", "sexual"), ("别说自己是废物", None), ("你别这样说", None), ("", None), (None, None), ("!" * 1000, None), ("你是" + "真" * 50_000 + "好人", None)],
+     ("s e n d n u d e s please", "sexual"), ("whoever made this is a c·l·o·w·n·-·b·r·a·i·n", "abuse"), ("别说自己是废物", None), ("你别这样说", None), ("", None), (None, None), ("!" * 1000, None), ("你是" + "真" * 50_000 + "好人", None)],
 )
 def test_clauses(text, label):
     scores = score_array(pa.array(["x", text, "y"], pa.string())).to_pylist()[1]
