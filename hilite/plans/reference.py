@@ -226,6 +226,20 @@ def clip_prf_label(spark, folder):
     return _measures(spark, folder).select(*(F.round(f"label_{x}", 6).alias(f"label_{x}") for x in ("p", "r", "f1")))
 
 
+GRID = [i / 10 for i in range(1, 10)]
+
+
+@query(f"""WITH {E}, {_rating_sql("5", SIX)}, {LABELLED}, g AS (SELECT unnest(range(1, 10)) / 10 AS x), m AS (SELECT min(rating) AS lo, max(rating) AS hi FROM r),
+  h AS (SELECT a.x AS x, c.x AS y, window_index AS i FROM r, m, g AS a, g AS c WHERE rating > a.x * lo + c.x * hi), k AS (SELECT x, y, min(i) * {SIX} AS s, (max(i) + 1) * {SIX} AS f FROM (SELECT *, i - row_number() OVER (PARTITION BY x, y ORDER BY i) AS d FROM h) GROUP BY x, y, d),
+  p AS (SELECT x, y, sum(f - s)::DOUBLE AS p FROM k GROUP BY x, y), t AS (SELECT x, y, sum(least(k.f, i.l) - greatest(k.s, i.f))::DOUBLE AS t FROM k JOIN i ON k.s <= i.l AND k.f >= i.f AND i.label = 'a' GROUP BY x, y), b AS (SELECT sum(l - f)::DOUBLE AS b FROM i)
+  SELECT a.x AS "left", c.x AS "right", round(coalesce(t / p, 0), 6) AS time_p, round(coalesce(t / b, 0), 6) AS time_r FROM g AS a, g AS c LEFT JOIN p ON p.x = a.x AND p.y = c.x LEFT JOIN t ON t.x = a.x AND t.y = c.x, b""")
+def grid_search(spark, folder):
+    e = events(spark, folder)
+    w = pipeline.rated_windows(e, e, "cid", "us", "topic", F.lit(5), pipeline.Settings(SIX, trim=False)).withColumn("label", F.lit("a"))
+    got = pipeline.grid_search(w, intervals(spark), "cid", "label", GRID, GRID, bin_width=SIX)
+    return got.select("left", "right", F.round("time_p", 6).alias("time_p"), F.round("time_r", 6).alias("time_r"))
+
+
 # tokens -------------------------------------------------------------------------------------------------------------
 
 

@@ -54,5 +54,11 @@ def write_clips(clips: DataFrame, path: str) -> None:
     clips.select("cid", clock_text(F.col("start")).alias("start"), clock_text(F.col("end")).alias("end"), "label").write.mode("overwrite").option("sep", "\t").csv(path)
 
 
+def write_corpus(tokens: DataFrame, path: str) -> None:
+    """A training corpus: the words of each text (id, pos, word) in a line, divided by tabs. Partitions are its files."""
+    lines = tokens.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("w"))
+    lines.select(F.array_join(F.transform("w", lambda w: w.word), "\t").alias("value")).write.mode("overwrite").text(path)
+
+
 def write_segments(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("cid").json(path)

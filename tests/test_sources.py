@@ -61,6 +61,15 @@ def test_sinks(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "clips")).collect()[0].value == "v\t1:10\t1:15\tx"
 
 
+def test_corpus_and_segments(spark, tmp_path):
+    t = spark.createDataFrame([(1, 1, "b"), (1, 0, "a"), (2, 0, "c")], "id int, pos int, word string")
+    sinks.write_corpus(t, str(tmp_path / "corpus"))
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "corpus")).collect()) == ["a\tb", "c"]
+    (tmp_path / "9.json").write_text('[{"play_timestamp":1.5,"row_id":"r","sender_id":"s","index":0,"sentence_seg_list":[{"word":"a","flag":"n","start_position":0,"end_position":0}]}]', encoding="utf-8")
+    got = readers.read_segments(spark, str(tmp_path / "9.json")).collect()
+    assert [(r.cid, r.row_id, r.sentence_seg_list[0].word) for r in got] == [("9", "r", "a")]
+
+
 def test_web(spark):
     html = '<h1 title="t">Name</h1><meta name="keywords" content="a,b"><span property=\'v:title\'>x</span>"cid":"77"$ROOM = {"room_id": "5", "room_name": "n"}; "server_config":"%5B%7B%22ip%22%3A%22h%22%2C%22port%22%3A%221%22%7D%5D"'
     df = spark.createDataFrame([(html, "http://x/av12/"), ("", "http://x/"), (None, None)], "html string, url string")
