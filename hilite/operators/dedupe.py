@@ -40,6 +40,15 @@ def first_of_each(df: DataFrame, key: str, order: Sequence[str], *, hot_rows: in
     return flag_first(df, key, order, flag="__first", hot_rows=hot_rows).where("__first").drop("__first")
 
 
+def without_copies(df: DataFrame, key: str, order: Sequence[str], row: str, *, hot_rows: int = 1_000_000) -> DataFrame:
+    """As first_of_each, for wide rows that have an identifier of their own, row: copies are found on key, order and row
+    alone, and their rows left out by an anti join, so that the other columns are shuffled once and filters on them
+    reach the scan."""
+    narrow = df.select(*dict.fromkeys([key, *order, row]))
+    copies = flag_first(narrow, key, order, flag="__first", hot_rows=hot_rows).where(~F.col("__first")).select(row)
+    return df.join(copies, row, "left_anti").select(*df.columns)
+
+
 def merge_deliveries(stored: DataFrame, new: DataFrame, key: str, order: Sequence[str], *, hot_rows: int = 1_000_000) -> DataFrame:
     """What the store holds after a new batch: one row for each key of both, stored rows before new ones.
 

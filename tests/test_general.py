@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hilite.functions.numbers import clock_seconds, identifier, play_micros, whole_number
-from hilite.operators.dedupe import first_of_each, flag_first, merge_deliveries
+from hilite.operators.dedupe import first_of_each, flag_first, merge_deliveries, without_copies
 from hilite.operators.intervals import periods_and_gaps
 from hilite.operators.packed import explode_packed, packed_values
 
@@ -45,6 +45,7 @@ def test_one_copy_of_each(spark, hot):
     flagged = flag_first(df, "k", ["n"], hot_rows=hot)
     assert flagged.count() == len(rows) and sorted(r.n for r in flagged.where("is_first").collect()) == want
     assert first_of_each(df, "k", ["n"]).columns == df.columns
+    assert sorted(r.n for r in without_copies(df, "k", ["n"], "n", hot_rows=hot).collect()) == want
     assert first_of_each(df.limit(0), "k", ["n"]).collect() == []
 
 
