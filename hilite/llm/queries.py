@@ -12,7 +12,7 @@ from hilite.llm.runs import collapse_runs, near_form
 from hilite.llm.splitting import Limit, split_items
 from hilite.llm.terms import most_marking, term_scores, terms_of
 from hilite.llm.tokens import token_count
-from hilite.operators.dedupe import first_of_each
+from hilite.operators.dedupe import without_copies
 from hilite.plans.tables import table
 from hilite.session import written
 
@@ -20,7 +20,7 @@ from hilite.session import written
 def p1_scores(spark: SparkSession, folder: str) -> DataFrame:
     """Every term of every pool with its score."""
     messages = table(spark, folder, "barrage").select("delivery_id", "cid", identifier(F.col("row_id")).alias("message"), terms_of(F.col("content")).alias("terms"))
-    return term_scores(first_of_each(messages, "message", ["delivery_id"]), "cid", "terms")
+    return term_scores(without_copies(messages, "message", ["delivery_id"], "delivery_id"), "cid", "terms")
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -33,7 +33,7 @@ def p4_runs(spark: SparkSession, folder: str) -> DataFrame:
         "delivery_id", identifier(F.col("row_id")).alias("message"), "cid", "sender_id", play_micros(F.col("play_timestamp")).alias("time"),
         whole_number(F.col("row_id")).alias("row"), F.when(F.col("content") != "", near_form(F.col("content"))).alias("form"),
     )
-    return collapse_runs(first_of_each(b, "message", ["delivery_id"]), ["cid", "sender_id"], "time", "row", "form")
+    return collapse_runs(without_copies(b, "message", ["delivery_id"], "delivery_id"), ["cid", "sender_id"], "time", "row", "form")
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
