@@ -7,6 +7,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from hilite.operators.skew import join_by_frequency
 from hilite.session import shared_folder
 
 NOISE = -1
@@ -93,17 +94,32 @@ def mean_neighbours(pairs: DataFrame, rows: int, eps: float) -> float:
     return pairs.where(F.col("distance") < eps).count() / max(rows, 1)
 
 
-def eps_neighbours(df: DataFrame, id_: str, vector: str, eps: float) -> DataFrame:
+def eps_neighbours(df: DataFrame, id_: str, vector: str, eps: float, *, block: int = 512) -> DataFrame:
     """(a, b) of rows at most eps apart, a row with itself as well.
 
     Candidates share a cell of a grid over the first component, or are in neighbouring cells: nothing nearer than eps
-    is anywhere else.
+    is anywhere else. Cells are cut into blocks of about block rows by a hash, and each two blocks of such cells are
+    one matrix of distances, so a crowded cell is many small tasks' work.
     """
     rows = df.select(F.col(id_).alias("id"), F.col(vector).cast("array<double>").alias("v")).withColumn("cell", F.floor(F.get("v", F.lit(0)) / eps))
-    left = rows.select(F.col("id").alias("a"), F.col("v").alias("va"), "cell")
-    right = rows.select(F.col("id").alias("b"), F.col("v").alias("vb"), F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell"))
-    square = F.aggregate(F.zip_with("va", "vb", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-    return left.join(right, "cell").where(F.sqrt(square) <= eps).select("a", "b")
+    cells = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    # for each cell the blocks of itself and its neighbours, three at most
+    neighbours = cells.select(F.col("cell").alias("near"), F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell"), F.col("blocks").alias("near_blocks"))
+    own = cells.join(neighbours, "cell").groupBy("cell").agg(F.max("blocks").alias("blocks"), F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("near", "near_blocks"))).alias("others"))
+    placed = join_by_frequency(rows, "cell", own, "n", ["id"], how="inner")
+    hashed = placed.select("id", "v", "cell", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.explode("others").alias("other", "n_other")).withColumn("other_block", F.explode(F.sequence(F.lit(0), F.col("n_other") - 1)))
+    left = hashed.select(F.struct("cell", "block", "other", "other_block").alias("k"), "id", "v")
+    right = hashed.select(F.struct(F.col("other").alias("cell"), F.col("other_block").alias("block"), F.col("cell").alias("other"), F.col("block").alias("other_block")).alias("k2"), F.col("id").alias("id2"), F.transform("v", lambda x: x).alias("v2"))
+
+    def close(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"a": [], "b": []})
+        y = np.array(b["v2"].tolist())
+        hits = [np.flatnonzero(np.sqrt(((x - y) ** 2).sum(1)) <= eps) for x in a["v"]]
+        return pd.DataFrame({"a": np.repeat(a["id"].to_numpy(), [len(h) for h in hits]), "b": b["id2"].to_numpy()[np.concatenate(hits)]})
+
+    kind = rows.schema["id"].dataType.simpleString()
+    return left.groupBy("k").cogroup(right.groupBy("k2")).applyInPandas(close, f"a {kind}, b {kind}")
 
 
 def dbscan(df: DataFrame, id_: str, vector: str, eps: float, least: float) -> DataFrame:

@@ -434,7 +434,7 @@ def zscore_rows(spark, folder):
 
 
 PAIRS = "p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_distance(a.v, b.v) AS d FROM v AS a, v AS b WHERE a.vec_id <> b.vec_id)"
-EPS = 0.9
+EPS = 1.15
 
 
 @query(f"WITH {V}, {PAIRS} SELECT a AS vec_id, round(d, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS r FROM p) WHERE r = 4")
