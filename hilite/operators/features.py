@@ -6,6 +6,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hilite.operators.skew import join_by_frequency
+from hilite.session import written
+
 
 def topic_vector(counts: DataFrame, window: list[str], topic: str, n: str, topics: list[str]) -> DataFrame:
     """A column for each topic with the window's count of it; 0 where it has none."""
@@ -29,17 +32,22 @@ def vocabulary(tokens: DataFrame, word: str) -> DataFrame:
 
 
 def tfidf(tokens: DataFrame, doc: str, word: str) -> DataFrame:
-    """(doc, word, weight): tf * log2(N / df), each document's weights of length 1; words of all documents are left out."""
-    tf = tokens.groupBy(doc, word).agg(F.count(F.lit(1)).alias("tf"))
+    """(doc, word, weight): tf * log2(N / df), each document's weights of length 1; words of all documents are left out.
+
+    Counts are written once to the shared folder, frequent words and long documents salted where they are joined back. Tokens without document or word don't count.
+    """
+    tf = tokens.where(F.col(doc).isNotNull() & F.col(word).isNotNull()).groupBy(doc, word).agg(F.count(F.lit(1)).alias("tf"))
+    tf = written(tf, "tf")
     df = tf.groupBy(word).agg(F.count(F.lit(1)).alias("df"))
-    n = tokens.select(F.countDistinct(doc)).scalar()
-    raw = tf.join(df, word).select(doc, word, (F.col("tf") * F.log2(n / F.col("df"))).alias("raw")).where(F.col("raw") > 0)
-    norm = raw.groupBy(doc).agg(F.sqrt(F.sum(F.col("raw") ** 2)).alias("norm"))
-    return raw.join(norm, doc).select(doc, word, (F.col("raw") / F.col("norm")).alias("weight"))
+    n = tf.select(F.countDistinct(doc)).scalar()
+    joined = join_by_frequency(tf, word, df, "df", [doc], how="inner")
+    raw = joined.select(doc, word, (F.col("tf") * F.log2(n / F.col("df"))).alias("raw")).where(F.col("raw") > 0)
+    norm = raw.groupBy(doc).agg(F.sqrt(F.sum(F.col("raw") ** 2)).alias("norm"), F.count(F.lit(1)).alias("words"))
+    return join_by_frequency(raw, doc, norm, "words", [word], how="inner").select(doc, word, (F.col("raw") / F.col("norm")).alias("weight"))
 
 
 def zscore_columns(df: DataFrame, id_: str, vector: str) -> DataFrame:
-    """(id, pos, z): each component less its mean over its population deviation over all rows; 0 where that is 0."""
+    """(id, pos, z): each component less its mean over its population deviation over all rows; 0 where that is 0. The statistics, a row for each component, are broadcast."""
     long = df.select(id_, F.posexplode(vector).alias("pos", "x"))
     stats = long.groupBy("pos").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd"))
     return long.join(F.broadcast(stats), "pos").select(id_, "pos", F.coalesce(F.try_divide(F.col("x") - F.col("mean"), F.col("sd")), F.lit(0.0)).alias("z"))

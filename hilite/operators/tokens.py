@@ -12,6 +12,7 @@ from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from hilite.operators.order import positions
+from hilite.session import written
 
 WORDS = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}ー]"
 TOKEN = rf"(?s)[A-Za-z]+|[0-9]+|{WORDS}+|\s+|."
@@ -165,7 +166,7 @@ def without_numbers(tokens: DataFrame, rejected: DataFrame) -> DataFrame:
 def survivors(comments: DataFrame, tokens: DataFrame, id_: str, cid: str, order: list[str]) -> DataFrame:
     """comments that have tokens, with index, their place among these in their video from 0."""
     left = comments.join(tokens.select(F.col("id").alias(id_)).distinct(), id_, "left_semi")
-    return positions(left, [cid], order, "index")
+    return positions(written(left, "survivors"), [cid], order, "index")  # the range is sampled: without a table, tokens would be made twice
 
 
 def word_list(segments: Column) -> Column:
