@@ -54,7 +54,7 @@ def draw_mixture(items: DataFrame, item: str, source: str, size: str, targets: l
     for k in key:
         same = same & (F.col(k) == F.col(f"_{k}"))
     offset = F.pmod(F.xxhash64("source", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    place = F.col("earlier") + F.row_number().over(Window.partitionBy(*key).orderBy("hash", "item"))
+    place = F.col("earlier") + F.row_number().over(Window.partitionBy(*key).orderBy("size", "hash", "item"))
     crossed = F.floor(place * F.col("each") + offset) - F.floor((place - 1) * F.col("each") + offset)
     return (
         placed.join(earlier, same).select("item", "source", "size", crossed.alias("copies")).where(F.col("copies") > 0)
