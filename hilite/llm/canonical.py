@@ -28,6 +28,8 @@ LOOK_ALIKES = {
 }
 # Hyphens that look like the ordinary one, and radicals that look like a whole character.
 OTHER_ALIKES = {"‐‑−⁃": "----", "⻁⻄⻅⻆⻉⻋⻓⻔⻘⻙⻚⻛⻜⻝⻢⻤⻥⻦⻨⻩⻬⻮⻰⻳⺠⺩": "虎西见角贝车长门青韦页风飞食马鬼鱼鸟麦黄齐齿龙龟民王"}
+# Characters of two kinds that look alike, in groups: Han, if there is one, then hiragana, then katakana.
+KINDRED = "口ロ 卜ト 二ニ 夕タ 力カ 工エ 八ハ 一ー 丿ノ 厶ム 乂メ へヘ べベ ぺペ りリ".split()
 # Ranges without any look of their own; the last line is blanks with a width, and line ends.
 IGNORED = [(0x00, 0x08), (0x0E, 0x1F), (0x7F, 0x84), (0x86, 0x9F), (0xAD, 0xAD), (0x34F, 0x34F), (0x61C, 0x61C), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F),
            (0x200B, 0x200F), (0x202A, 0x202E), (0x2060, 0x206F), (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF), (0xFFF0, 0xFFFB), (0x1BCA0, 0x1BCA3), (0x1D173, 0x1D17A), (0xE0000, 0xE0FFF)]
@@ -244,8 +246,8 @@ def chunks(array: pa.Array, size: int = CHUNK):
         i = j
 
 
-def canonical_array(array: pa.Array, alike: bool = True) -> pa.Array:
-    """The canonical form of each text of a string array."""
+def canonical_array(array: pa.Array, alike: bool = True, then=None) -> pa.Array:
+    """The canonical form of each text of a string array; then: what is done to its code points, given with the places where texts begin."""
     out = []
     for part in chunks(array):
         data, offsets = texts_of(part)
@@ -253,15 +255,85 @@ def canonical_array(array: pa.Array, alike: bool = True) -> pa.Array:
             out.append(part)
             continue
         cp, before = decode(data)
-        out.append(to_arrow(*canonical_points(cp, before[offsets], tables(alike)), part))
+        cp, starts = canonical_points(cp, before[offsets], tables(alike))
+        out.append(to_arrow(then(cp, starts) if then else cp, starts, part))
     return pa.concat_arrays([x.cast(pa.string()) for x in out]) if out else array
 
 
+OTHER, HAN, HIRAGANA, KATAKANA = range(4)
+
+
+@cache
+def kindred() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of every code point: the first of its group, its kind, whether it is in a group, and the member of each kind in it, 0 where there is none."""
+    first, kind, grouped = np.arange(SIZE, dtype=np.int32), np.zeros(SIZE, np.uint8), np.zeros(SIZE, bool)
+    for a, b, k in ((0x3005, 0x3007, HAN), (0x3041, 0x309F, HIRAGANA), (0x30A1, 0x30FA, KATAKANA), (0x30FC, 0x30FF, KATAKANA), (0x31F0, 0x31FF, KATAKANA), (0x3400, 0x9FFF, HAN), (0xF900, 0xFAFF, HAN), (0x20000, 0x323AF, HAN)):
+        kind[a : b + 1] = k
+    member = np.zeros((4, SIZE), np.int32)
+    for group in KINDRED:
+        for c in map(ord, group):
+            first[c], grouped[c] = ord(group[0]), True
+            member[kind[[*map(ord, group)]], c] = [*map(ord, group)]
+    return first, kind, grouped, member
+
+
+def looks_array(array: pa.Array) -> pa.Array:
+    """The form of each text of a string array in which equal looks are equal strings."""
+    return canonical_array(array, then=lambda cp, starts: kindred()[0][cp])
+
+
+def in_context(cp: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Canonical texts with characters that look like one of another kind read as the kind around them.
+
+    A stretch of such characters is read as what is beside it: a Han character is kana beside katakana, with no Han
+    character beside the stretch, or in a stretch with katakana; a single katakana character is Han between two Han
+    characters; hiragana and katakana become each other beside the other one alone. All else keeps its kind: with Han
+    on one side and kana on the other, both readings are real words.
+    """
+    _, kinds, grouped, member = kindred()
+    among = grouped[cp]
+    if not among.any():
+        return cp
+    row = rows_of(starts)
+    new = np.append(True, row[1:] != row[:-1])
+    begin = np.flatnonzero(among & (new | ~np.append(False, among[:-1])))
+    end = np.flatnonzero(among & np.append(new[1:] | ~among[1:], True)) + 1
+    kind = kinds[cp]
+    left = np.where(new[begin], OTHER, kind[begin - 1])
+    right = np.where(np.append(new, True)[end], OTHER, np.append(kind, OTHER)[end])
+    at = np.flatnonzero(among)
+    run = np.repeat(np.arange(len(begin)), end - begin)
+    own = kind[at]
+    beside = lambda k: (left == k) | (right == k)
+    mixed = np.zeros(len(begin), bool)
+    mixed[run[own == KATAKANA]] = True
+    to_kana = ~beside(HAN) & (beside(KATAKANA) | mixed)
+    to_katakana = beside(KATAKANA) & ~beside(HAN) & ~beside(HIRAGANA)
+    to_hiragana = beside(HIRAGANA) & ~beside(HAN) & ~beside(KATAKANA)
+    to_han = (left == HAN) & (right == HAN) & (end - begin == 1)
+    out = cp.copy()
+    for source, target, where in ((HAN, KATAKANA, to_kana), (KATAKANA, HAN, to_han), (HIRAGANA, KATAKANA, to_katakana), (KATAKANA, HIRAGANA, to_hiragana)):
+        here = at[(own == source) & where[run]]
+        here = here[member[target, cp[here]] > 0]
+        out[here] = member[target, cp[here]]
+    return out
+
+
 @arrow_udf(StringType())
 def _canonical(text: pa.Array) -> pa.Array:
     return canonical_array(text)
 
 
+@arrow_udf(StringType())
+def _looks(text: pa.Array) -> pa.Array:
+    return looks_array(text)
+
+
+@arrow_udf(StringType())
+def _read(text: pa.Array) -> pa.Array:
+    return canonical_array(text, then=in_context)
+
+
 def canonical(text: Column) -> Column:
     """text in the one form in which equal looks mean equal strings.
 
@@ -273,6 +345,16 @@ def canonical(text: Column) -> Column:
     return _canonical(text)
 
 
+def looks(text: Column) -> Column:
+    """text in canonical form with Han, hiragana and katakana that look alike (口 and ロ, へ and ヘ) as one character: for comparison, not for display."""
+    return _looks(text)
+
+
+def read_in_context(text: Column) -> Column:
+    """text in canonical form with each of these characters as the kind of letter that is around it; see in_context."""
+    return _read(text)
+
+
 def same_looks(df: DataFrame, text: str, phrases: DataFrame, phrase: str) -> DataFrame:
     """Rows of df whose whole text looks like a phrase but isn't equal to it, with the columns of the phrase.
 
@@ -280,7 +362,7 @@ def same_looks(df: DataFrame, text: str, phrases: DataFrame, phrase: str) -> Dat
     that is there twice gives a row each; null texts and phrases match nothing. Columns of phrases with a name that df
     has as well get ``_phrase`` behind it.
     """
-    left = df.where(F.col(text).isNotNull()).withColumns({"__form": canonical(F.col(text)), "__text": F.col(text)})
+    left = df.where(F.col(text).isNotNull()).withColumns({"__form": looks(F.col(text)), "__text": F.col(text)})
     named = [F.col(c).alias(f"{c}_phrase" if c in df.columns else c) for c in phrases.columns]
-    right = phrases.where(F.col(phrase).isNotNull()).select(*named, canonical(F.col(phrase)).alias("__like"), F.col(phrase).alias("__phrase"))
+    right = phrases.where(F.col(phrase).isNotNull()).select(*named, looks(F.col(phrase)).alias("__like"), F.col(phrase).alias("__phrase"))
     return left.join(right, (F.col("__form") == F.col("__like")) & (F.col("__text") != F.col("__phrase"))).drop("__form", "__text", "__like", "__phrase")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import StringType
 
-from hilite.llm.canonical import SIZE, canonical_points, chunks, decode, kept, rows_of, tables, texts_of, to_arrow
+from hilite.llm.canonical import SIZE, canonical_points, chunks, decode, kept, kindred, rows_of, tables, texts_of, to_arrow
 from hilite.session import written
 
 
@@ -96,7 +96,7 @@ def near_array(array: pa.Array) -> pa.Array:
             continue
         cp, before = decode(data)
         cp, starts = canonical_points(cp, before[offsets], tables())
-        cp = lower[cp]
+        cp = lower[kindred()[0][cp]]
         out.append(to_arrow(*collapse_repeats(*kept(cp, starts, keep[cp])), part))
     return pa.concat_arrays([x.cast(pa.string()) for x in out]) if out else array
 
@@ -107,7 +107,7 @@ def _near(text: pa.Array) -> pa.Array:
 
 
 def near_form(text: Column) -> Column:
-    """text in canonical form and lower case without punctuation, symbols and blanks, and with everything repeated on the spot there once."""
+    """text in canonical form and lower case, Han and kana that look alike as one, without punctuation, symbols and blanks, and with everything repeated on the spot there once."""
     return _near(text)
 
 

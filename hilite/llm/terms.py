@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hilite.llm.canonical import canonical
+from hilite.llm.canonical import read_in_context
 from hilite.operators.skew import join_by_frequency
 from hilite.session import written
 
@@ -12,8 +12,8 @@ TERM = rf"\p{{IsHan}}+|[{KANA}]+|[\p{{L}}\p{{N}}\p{{M}}&&[^\p{{IsHan}}{KANA}]]+"
 
 
 def terms_of(text: Column) -> Column:
-    """ARRAY<STRING> of the different terms of text: unbroken stretches of Han, of kana, or of other letters and digits, in canonical form and lower case."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(canonical(text)), F.lit(TERM), F.lit(0)))
+    """ARRAY<STRING> of the different terms of text: unbroken stretches of Han, of kana, or of other letters and digits, in canonical form and lower case; look-alikes of another kind are read as the kind around them."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(read_in_context(text)), F.lit(TERM), F.lit(0)))
 
 
 def term_scores(records: DataFrame, record: str, terms: str, *, hot_rows: int = 1_000_000) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from hilite.llm.canonical import canonical_array
+from hilite.llm.canonical import canonical_array, in_context, looks_array
 
 ALPHABET = "aeEoOАе̧̣́̈̀がﾊﾞﾟ각각①ｶﾞＡ…ﬁཱིোÅשּׁ가"
 
@@ -36,3 +36,23 @@ def test_slices_and_long_texts():
     want = ["a" * 3_000_000, None, "", "é" * 10] * 2
     assert canonical_array(pa.array(texts)).to_pylist() == want
     assert canonical_array(pa.array(texts).slice(3, 3)).to_pylist() == want[3:6]
+
+
+@pytest.mark.parametrize(
+    ("text", "phrase"),
+    [("二ャンコ工房", "ニャンコ工房"), ("ドラム缶口ケッ卜", "ドラム缶ロケット"), ("夕コと力二の休日", "タコとカニの休日"), ("へリオス便り", "ヘリオス便り"), ("卜口ッコ大作戦", "トロッコ大作戦"), ("工コバッグ戦記", "エコバッグ戦記"),
+     ("ハ百屋", "八百屋"), ("力口リ一", "カロリー"), ("べーグル", "ベーグル"), ("ﾍﾟン", "ぺン"), ("とりリと", "とりりと")],
+)
+def test_han_and_kana_that_look_alike(text, phrase):
+    forms = looks_array(pa.array([text, None, phrase])).to_pylist()
+    assert forms[0] == forms[2] and forms[1] is None
+    assert looks_array(pa.array(["ガ", "ポ"])).to_pylist() == ["ガ", "ポ"]
+
+
+@pytest.mark.parametrize(
+    ("text", "read"),
+    [("二ャンコ工房", "ニャンコ工房"), ("夕コ", "タコ"), ("卜口ッコ大作戦", "トロッコ大作戦"), ("へリオス便り", "ヘリオス便り"), ("人ロ密度", "人口密度"), ("カロリー爆弾", "カロリー爆弾"), ("人口ケーキ", "人口ケーキ"),
+     ("努力の力", "努力の力"), ("友達へメール", "友達へメール"), ("ここヘの", "ここへの"), ("第ー回", "第一回"), ("ab口", "ab口")],
+)
+def test_read_in_context(text, read):
+    assert canonical_array(pa.array(["ロ", text, "ャ", None]), then=in_context).to_pylist() == ["ロ", read, "ャ", None]

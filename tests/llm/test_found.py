@@ -100,6 +100,13 @@ def test_clashing_names(spark):
     assert scored.score == 0.0 and scored.abuse == 0.0 and scored.phrase == "x"
 
 
+def test_kindred_characters(spark):
+    left = spark.createDataFrame([(1, "卜口ッコ大作戦"), (2, "トロッコ大作戦"), (3, "トロッコ大昨戦")], "id int, content string")
+    assert [(r.id, r.k) for r in same_looks(left, "content", spark.createDataFrame([(7, "トロッコ大作戦")], "k int, phrase string"), "phrase").collect()] == [(1, 7)]
+    assert len(set(near_array(left.select("content").limit(2).toArrow()["content"].combine_chunks()).to_pylist())) == 1
+    assert left.select(terms_of(left.content)).first()[0] == ["トロッコ", "大作戦"]
+
+
 LABELLED = "/root/testdata/sf0.01/comment_label.parquet"
 
 
