@@ -1,5 +1,7 @@
 """Windows over play time. Times and widths are whole microseconds; a window's index is integer division, never a rounded quotient."""
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,25 +35,45 @@ def sliding(comments: DataFrame, cid: str, time: str, width: int, slide: int) ->
     return exploded.groupBy(cid, "window_index").agg(F.count(F.lit(1)).alias("comments")).select(cid, "window_index", (F.col("window_index") * slide).alias("start"), (F.col("window_index") * slide + width).alias("end"), "comments")
 
 
-def labelled(intervals: DataFrame, comments: DataFrame, cid: str, time: str, width: int, *, start: str = "start", end: str = "end", label: str = "label") -> DataFrame:
-    """(cid, start, end, label, window_index, comments): training windows of width from an interval's start while they begin before its end.
-
-    They are closed at both ends: a comment at a common edge is in both. Bounds and times are in the same unit. The
-    join is by cid and window-sized bins, a window meets two of them; its bounds are checked after that. A window
-    without comments has 0.
-    """
+def _labelled(intervals: DataFrame, rows: DataFrame, cid: str, time: str, width: int, made: Callable[[DataFrame, list[str]], DataFrame], start: str, end: str, label: str) -> DataFrame:
+    """(cid, start, end, label, window_index, and what made gives for each window's rows): the windows of labelled."""
     w = intervals.where((F.col(end) > F.col(start)) & (F.col(start) >= 0)).select(cid, F.col(label).alias("label"), F.col(start).alias("__first"), F.col(end).alias("__last"), F.explode(F.sequence(F.col(start), F.col(end) - 1, F.lit(width).cast("bigint"))).alias("start"))
     w = w.withColumn("end", F.col("start") + width)
     key = [cid, "label", "__first", "__last", "start", "end"]
     bins = w.distinct().withColumn("__bin", F.explode(F.array(F.expr(f"start div {width}"), F.expr(f"end div {width}"))))
-    c = comments.select(F.col(cid).alias("__cid"), F.col(time).alias("__time"), F.expr(f"`{time}` div {width}").alias("__at"))
+    c = rows.withColumns({"__cid": F.col(cid), "__time": F.col(time), "__at": F.expr(f"`{time}` div {width}")}).select(*(F.col(x).alias(x if x.startswith("__") else f"__row_{x}") for x in ("__cid", "__time", "__at", *rows.columns)))
     met = bins.join(c, (F.col(cid) == F.col("__cid")) & (F.col("__bin") == F.col("__at")) & F.col("__time").between(F.col("start"), F.col("end")))
-    counts = met.groupBy(*key).agg(F.count(F.lit(1)).alias("comments"))
+    got = made(met, key)
     same = F.lit(True)
     for k in key:
         same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
-    joined = w.join(counts.select(*(F.col(k).alias(f"_{k}") for k in key), "comments"), same, "left")
-    return joined.select(cid, "start", "end", "label", F.expr(f"start div {width}").alias("window_index"), F.coalesce("comments", F.lit(0)).alias("comments"))
+    more = [x for x in got.columns if x not in key]
+    joined = w.join(got.select(*(F.col(k).alias(f"_{k}") for k in key), *more), same, "left")
+    return joined.select(cid, "start", "end", "label", F.expr(f"start div {width}").alias("window_index"), *more)
+
+
+def labelled(intervals: DataFrame, comments: DataFrame, cid: str, time: str, width: int, *, start: str = "start", end: str = "end", label: str = "label") -> DataFrame:
+    """(cid, start, end, label, window_index, comments): training windows of width from an interval's start while they begin before its end.
+
+    They are closed at both ends: a comment at a common edge is in both. Bounds and times are in the same unit. The
+    join is by cid and window-sized bins, a window meets two of them; its bounds are checked after that. A window
+    without comments has 0.
+    """
+    counts = lambda met, key: met.groupBy(*key).agg(F.count(F.lit(1)).alias("comments"))
+    return _labelled(intervals, comments.select(cid, time), cid, time, width, counts, start, end, label).withColumn("comments", F.coalesce("comments", F.lit(0)))
+
+
+def labelled_items(intervals: DataFrame, items: DataFrame, cid: str, time: str, topic: str, width: int, *, start: str = "start", end: str = "end", label: str = "label") -> DataFrame:
+    """(cid, start, end, label, window_index, n): the windows of labelled, each with the map of its own items' topics to their counts, null without any.
+
+    An item at a common edge of two windows is in both, as comments are there. Items without a topic don't count.
+    """
+
+    def counts(met: DataFrame, key: list[str]) -> DataFrame:
+        n = met.groupBy(*key, f"__row_{topic}").agg(F.count(F.lit(1)).cast("double").alias("n"))
+        return n.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct(f"__row_{topic}", "n"))).alias("n"))
+
+    return _labelled(intervals, items.where(F.col(topic).isNotNull()).select(cid, time, topic), cid, time, width, counts, start, end, label)
 
 
 def trim_edges(windows: DataFrame, cid: str, index: str = "window_index", *, above: int = TRIM_ABOVE, cut: int = TRIM) -> DataFrame:

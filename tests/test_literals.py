@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from hilite.functions.timefmt import cid_of_path, clock_text, play_time_text
 from hilite.operators import classify, clips, cluster, comments, features, rating, tokens, windows
+from hilite.plans import pipeline
 
 S = 1_000_000
 
@@ -25,6 +26,25 @@ def test_window_edges(spark):
     assert sorted((r.cid, r.window_index, str(r.label), r.comments) for r in got) == [("v", 0, "None", 3), ("v", 0, "x", 3), ("v", 1, "None", 2), ("v", 1, "x", 2), ("w", 0, "y", 0), ("w", 1, "y", 0)]
 
 
+def test_training_windows_have_their_own_items(spark):
+    at = [(0, "x"), (4, "x"), (5, "y"), (14, "y"), (15, "z"), (16, "z"), (24, "x"), (26, "x")]
+    c = spark.createDataFrame([("v", s * S, t) for s, t in at], "cid string, us bigint, topic string")
+    i = spark.createDataFrame([("v", 5 * S, 25 * S, "a"), ("v", 5 * S, 25 * S, None), ("v", 16 * S, 17 * S, "b"), ("v", 40 * S, 41 * S, "b"), ("v", 4 * S, 5 * S, "a"), ("v", 4 * S, 5 * S, "a")], "cid string, start bigint, end bigint, label string")
+    got = windows.labelled_items(i, c, "cid", "us", "topic", 10 * S).collect()
+    first, second = {"y": 2, "z": 1}, {"z": 2, "x": 1}
+    want = [(4, "a", {"x": 1, "y": 2})] * 2 + [(5, "a", first), (5, "None", first), (15, "a", second), (15, "None", second), (16, "b", {"z": 1, "x": 2}), (40, "b", None)]
+    assert sorted((r.start // S, str(r.label), str(r.n and sorted(r.n.items()))) for r in got) == sorted((a, b, str(n and sorted((k, float(v)) for k, v in n.items()))) for a, b, n in want)
+
+
+def test_training_uses_these_windows(spark):
+    """Each label has one topic in its own closed windows; the half-open windows of the same index have the other label's."""
+    at = [(1, "x"), (2, "x"), (3, "x"), (10, "x"), (11, "y"), (12, "y"), (13, "y"), (20, "y"), (31, "x"), (32, "x"), (33, "x"), (34, "x"), (42, "y"), (43, "y"), (44, "y"), (46, "y")]
+    c = spark.createDataFrame([("v", s * S, t) for s, t in at], "cid string, us bigint, topic string")
+    i = spark.createDataFrame([("v", 9 * S + 500_000, 10 * S + 500_000, "y"), ("v", 29 * S, 30 * S, "x")], "cid string, start bigint, end bigint, label string")
+    clips_, _ = pipeline.train_and_evaluate(c, c, i, "cid", "us", "topic", ["x", "y"], pipeline.Settings(10 * S, 0.0, 0.1, False))
+    assert {(r.start // S, r.end // S, r.label) for r in clips_.collect()} >= {(30, 40, "x"), (40, 50, "y")}
+
+
 def test_empty_windows(spark):
     c = comments_at(spark, 1, 35)
     w = windows.tumbling(c, "cid", "us", 10 * S).orderBy("window_index")
