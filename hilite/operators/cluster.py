@@ -19,6 +19,48 @@ def kmeans(df: DataFrame, id_: str, vector: str, k: int, *, seed: int = 1) -> Da
     return KMeans(k=k, seed=seed, initMode="random", featuresCol="__v", predictionCol="cluster").fit(data).transform(data).select(id_, "cluster")
 
 
+def lloyd(x: np.ndarray, weight: np.ndarray, k: int, *, seed: int = 1, tolerance: float = 1e-4, block: int = 50_000) -> np.ndarray:
+    """The cluster of each of some different vectors that stand for weight rows each: from k random rows, all of them where there are fewer, until the squared error moves by less than tolerance."""
+    k = min(k, len(x))
+    centres = x[np.random.default_rng(seed).choice(len(x), k, replace=False, p=weight / weight.sum())].copy()
+    before = np.inf
+    while True:
+        far = (centres * centres).sum(1)
+        own = np.concatenate([(far - 2 * x[i : i + block] @ centres.T).argmin(1) for i in range(0, len(x), block)])
+        size = np.bincount(own, weight, k)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, own, x * weight[:, None])
+        centres = np.where(size[:, None] > 0, sums / np.maximum(size, 1e-300)[:, None], centres)
+        error = float((weight * ((x - centres[own]) ** 2).sum(1)).sum())
+        if abs(before - error) < tolerance:
+            return own
+        before = error
+
+
+def clusterings(df: DataFrame, cid: str, vector: str, numbers: list[int], *, seed: int = 1) -> DataFrame:
+    """df with columns cluster_num and topic: a row for each of numbers, with the row's cluster from 0 by k-means of its video's vectors in as many clusters.
+
+    Components are z-scored over a video's rows before. Each video and number is a task that has the video's different
+    vectors, with their counts, in memory. Rows without cid or vector have no clusters and no rows here.
+    """
+    rows = df.where(F.col(cid).isNotNull() & F.col(vector).isNotNull()).withColumn("__v", F.col(vector).cast("array<double>"))
+    different = rows.groupBy(F.col(cid).alias("__cid"), F.col("__v").alias("__vector")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    each = different.withColumn("cluster_num", F.explode(F.array(*map(F.lit, numbers))))
+    kind = different.schema["__cid"].dataType.simpleString()
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        order = sorted(range(len(g)), key=lambda i: tuple(g["__vector"].iloc[i]))  # whatever order rows come in
+        g = g.iloc[order]
+        x, n = np.array(g["__vector"].tolist(), float), g["n"].to_numpy()
+        mean = (x * n[:, None]).sum(0) / n.sum()
+        sd = np.sqrt((((x - mean) ** 2) * n[:, None]).sum(0) / n.sum())
+        z = np.where(sd > 0, (x - mean) / np.where(sd > 0, sd, 1), 0)
+        return g.assign(topic=lloyd(z, n, int(g["cluster_num"].iloc[0]), seed=seed))[["__cid", "__vector", "cluster_num", "topic"]]
+
+    got = each.groupBy("__cid", "cluster_num").applyInPandas(run, f"__cid {kind}, __vector array<double>, cluster_num int, topic int")
+    return rows.join(got, (F.col(cid) == F.col("__cid")) & (F.col("__v") == F.col("__vector"))).select(*df.columns, "cluster_num", "topic")
+
+
 def nearest_centre(df: DataFrame, id_: str, vector: str, centres: list[tuple[int, list[float]]]) -> DataFrame:
     """(id, cluster, distance): the nearest of a few centres, the first of equal ones."""
     v = F.col(vector).cast("array<double>")

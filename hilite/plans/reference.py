@@ -674,3 +674,27 @@ def pipeline_measures(spark, folder):
     e = events(spark, folder)
     _, measures = pipeline.train_and_evaluate(e, e, intervals(spark), "cid", "us", "topic", TOPICS, pipeline.Settings(HOUR, 0.7, 0.3, False))
     return measures
+
+
+def event_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """events with the mean vector of their words."""
+    from pyspark.ml.functions import vector_to_array
+
+    docs = events(spark, folder).withColumn("words", F.array_compact(F.array("topic", F.concat(F.lit("k"), F.col("k").cast("string")))))
+    model = features.word_vectors(docs, "words", size=100, least=1)
+    return model.transform(docs).select("cid", "us", vector_to_array("vector").alias("v"))
+
+
+@query()
+def pipeline_clusters(spark, folder):
+    """The whole run with topics that are clusters of comment vectors."""
+    e = event_vectors(spark, folder)
+    items = cluster.clusterings(e, "cid", "v", [20])
+    found, _ = pipeline.train_and_evaluate(e, items, intervals(spark), "cid", "us", "topic", [*range(20)], pipeline.Settings(HOUR, 0.4, 0.6, False))
+    return found
+
+
+@query()
+def grid_search_clusters(spark, folder):
+    """Thresholds by thresholds by cluster numbers: 7,371 runs."""
+    return pipeline.parameter_search(event_vectors(spark, folder), intervals(spark), "cid", "us", "v", [*range(10, 101)], GRID, GRID, pipeline.Settings(SIX, trim=False))

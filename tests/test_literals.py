@@ -45,6 +45,32 @@ def test_training_uses_these_windows(spark):
     assert {(r.start // S, r.end // S, r.label) for r in clips_.collect()} >= {(30, 40, "x"), (40, 50, "y")}
 
 
+def test_lloyd():
+    x = np.array([[0.0, 0], [0, 1], [9, 9], [9, 10], [-9, 0]])
+    for seed in range(5):
+        own = cluster.lloyd(x, np.array([5.0, 1, 1, 4, 1]), 5, seed=seed)
+        assert sorted(own) == [0, 1, 2, 3, 4]
+        assert len(set(cluster.lloyd(x, np.ones(5), 9, seed=seed))) == 5
+    own = cluster.lloyd(x[:4], np.ones(4), 2, seed=1)
+    assert own[0] == own[1] != own[2] == own[3]
+
+
+def test_parameter_search(spark):
+    """Each cell of the search is the run of train_and_evaluate with these clusters and thresholds."""
+    rng = np.random.default_rng(4)
+    rows = [(v, int(s * S), [float(x) for x in rng.normal(0, 0.2, 2) + (3 * (s // 50 % 2), s // 30 % 3)]) for v in (7, 8) for s in rng.integers(0, 200, 150)]
+    c = spark.createDataFrame(rows, "cid int, us bigint, v array<double>").cache()
+    i = spark.createDataFrame([(7, 3 * S, 43 * S, "a"), (7, 55 * S, 90 * S, "b"), (8, 101 * S, 133 * S, "a"), (8, 58 * S, 90 * S, "b")], "cid int, start bigint, end bigint, label string")
+    got = pipeline.parameter_search(c, i, "cid", "us", "v", [2, 3, 5], [0.3, 0.5], [0.2, 0.7], pipeline.Settings(10 * S, trim=False)).collect()
+    assert len(got) == 2 * 3 * 4 and [r.time_f1 for r in got] == sorted((r.time_f1 for r in got), reverse=True) and got[0].time_f1 > 0
+    for number, left, right in ((2, 0.3, 0.2), (3, 0.5, 0.2), (5, 0.3, 0.7)):
+        items = cluster.clusterings(c, "cid", "v", [number])
+        assert items.count() == 300 and items.select("topic").distinct().count() == number
+        _, m = pipeline.train_and_evaluate(c, items, i, "cid", "us", "topic", [*range(number)], pipeline.Settings(10 * S, left, right, False))
+        want = {r.cid: tuple(r)[1:] for r in m.collect()}
+        assert {r.cid: tuple(r)[4:] for r in got if (r.cluster_num, r.left, r.right) == (number, left, right)} == want
+
+
 def test_empty_windows(spark):
     c = comments_at(spark, 1, 35)
     w = windows.tumbling(c, "cid", "us", 10 * S).orderBy("window_index")
