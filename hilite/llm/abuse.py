@@ -23,8 +23,8 @@ from hilite.llm.runs import letters
 LABELS = ("abuse", "hate", "sexual")
 THRESHOLD = 0.5
 
-# Symbols of the grammar: word classes, then gaps by their number of characters, then ends of clause and sentence.
-CLASSES = ("INSULT", "WEAK", "DIRECT", "ORDER", "DEATH", "WISH", "LIKE", "GROUP", "DEHUMAN", "PURGE", "SEX", "WANT", "BODY", "LUST", "STRIP", "NUDE", "BEG", "MATE", "NEG", "REPORT", "CITED", "BENIGN", "MENTION")
+# Symbols of the grammar: word classes, then gaps by their number of characters (FAR: over 12 characters or Latin words), then ends of clause and sentence.
+CLASSES = ("INSULT", "WEAK", "DIRECT", "ORDER", "DEATH", "WISH", "INTENT", "KILL", "THREAT", "LIKE", "GROUP", "DEHUMAN", "PURGE", "SEX", "WANT", "BODY", "LUST", "STRIP", "NUDE", "BEG", "MATE", "NEG", "REPORT", "CITED", "BENIGN", "MENTION")
 GAPS = ("G2", "G6", "G12", "FAR", "COMMA", "BREAK")
 SYMBOL = {name: i for i, name in enumerate((*CLASSES, *GAPS))}
 
@@ -38,6 +38,10 @@ WORDS = {
     "ORDER": "滚 滚开 给我滚 给我爬 爬远点 闭嘴 stfu shutup shutthefuckup nobodyasked getlost fuckoff gotohell 黙れ 失せろ 消えろ",
     "DEATH": "去死 去死吧 死全家 godie gokillyourself killyourself kys 死ね",
     "WISH": "怎么还不去死 怎么还不死 怎么不去死 早点去死 赶紧去死 shouldquitbreathing quitbreathing stopbreathing dieinafire dropdead",
+    "INTENT": "iwill ill igonna imgonna iamgonna imgoingto iamgoingto iwant_to iwanna imabout_to ima wewill wegonna weregonna weregoingto wearegoingto letme 我要 我会 我想 我一定 老子要 老子",
+    "KILL": "kill murder stab shoot strangle behead slaughter",
+    "THREAT": "弄死你 打死你 砍死你 杀了你 杀死你 捅死你 整死你 揍死你 掐死你 勒死你 宰了你 砍了你 废了你 炸死你 杀你全家 打断你的腿 killyourfamily slityourthroat breakyourneck breakyourlegs huntyoudown beatyouto_death "
+    "ぶっ殺す ぶっ殺し ぶち殺す ぶち殺し ブッ殺す 殺してやる 殺すぞ お前を殺す",
     "LIKE": "likeyou likeu",
     "GROUP": "维尔玛人 托卡族 灰塔佬 南潮教徒 velmari torkan graytower",
     "DEHUMAN": "全赶出去 都赶出去 赶出去 滚回去 都该死 该死 不配当人 不配做人 没一个好东西 没有一个好东西 就想吐 就是低等 低等 劣等 死光 vermin subhuman deservetolive deservetodie arefilth arescum areanimals",
@@ -107,7 +111,7 @@ def spellings(word: str) -> Iterable[str]:
             yield "".join(READINGS[c] for c in word)
 
 
-SPELLED_OUT = {"INSULT", "ORDER", "DEATH", "WISH", "DEHUMAN", "PURGE", "SEX", "WANT", "LUST", "STRIP", "NUDE", "GROUP"}
+SPELLED_OUT = {"INSULT", "ORDER", "DEATH", "WISH", "KILL", "THREAT", "DEHUMAN", "PURGE", "SEX", "WANT", "LUST", "STRIP", "NUDE", "GROUP"}
 
 
 @cache
@@ -120,7 +124,7 @@ def lexicon() -> Lexicon:
                 forms = [*forms, word + "s", word + "es"]
             for form in forms:
                 words[skeleton(form)] = SYMBOL[name]
-    for name in ("BENIGN", "NEG", "REPORT", "DIRECT"):
+    for name in ("KILL", "BENIGN", "NEG", "REPORT", "DIRECT"):  # "kill" is also "killall" without its vowel
         words |= {skeleton(w): SYMBOL[name] for w in WORDS[name].split()}
     return Lexicon(words)
 
@@ -133,7 +137,7 @@ def speech() -> Sequential:
         to[state] = state
         to[state, SYMBOL["G6"]] = 2 if state == 1 else 0
         to[state, [SYMBOL[x] for x in ("G12", "FAR", "COMMA", "BREAK")]] = 0
-        for x in ("INSULT", "WEAK", "DEATH", "SEX", "WANT"):
+        for x in ("INSULT", "WEAK", "DEATH", "KILL", "THREAT", "SEX", "WANT"):
             out[state, SYMBOL[x]] = SYMBOL["MENTION"]
     to[:, [SYMBOL["NEG"], SYMBOL["REPORT"]]] = 1
     return Sequential(to, out)
@@ -143,10 +147,10 @@ def clauses() -> Scorer:
     """The clauses that count, with their weights."""
     s = SYMBOL
     near, wide = {s["G2"], s["G6"]}, {s["G2"], s["G6"], s["G12"]}
-    words = {s[x] for x in ("DIRECT", "WEAK", "BODY", "BEG", "GROUP", "CITED", "BENIGN", "LIKE", "ORDER")}
+    words = {s[x] for x in ("DIRECT", "WEAK", "BODY", "BEG", "GROUP", "CITED", "BENIGN", "LIKE", "ORDER", "INTENT", "KILL")}
     some = ("star", {*wide, *words})
-    soft = ("star", {*near, s["COMMA"], s["DIRECT"], s["WEAK"], s["BEG"]})
-    little = ("star", {*near, s["DIRECT"], s["BODY"]})
+    soft = ("star", {*near, s["COMMA"], s["DIRECT"], s["WEAK"], s["BEG"], s["INTENT"], s["KILL"]})
+    little = ("star", {*near, s["DIRECT"], s["BODY"], s["INTENT"], s["KILL"]})
     m = Machine()
     abuse, hate, sexual = range(3)
     m.add([s["INSULT"]], {abuse: 0.4})
@@ -161,9 +165,11 @@ def clauses() -> Scorer:
     m.add([s["DEATH"]], {abuse: 0.45})
     m.add([s["DEATH"], soft, s["INSULT"]], {abuse: 1.0})
     m.add([s["WISH"]], {abuse: 0.9})
+    m.add([s["THREAT"]], {abuse: 0.9})
+    m.add([s["INTENT"], ("star", near), s["KILL"], ("opt", {s["G2"]}), s["DIRECT"]], {abuse: 0.9})
     m.add([s["GROUP"], some, {s["DEHUMAN"], s["DEATH"], s["WISH"], s["INSULT"]}], {hate: 1.0})
-    m.add([s["PURGE"], little, s["GROUP"]], {hate: 1.0})
-    m.add([s["GROUP"], little, s["PURGE"]], {hate: 1.0})
+    m.add([{s["PURGE"], s["KILL"]}, little, s["GROUP"]], {hate: 1.0})
+    m.add([s["GROUP"], little, {s["PURGE"], s["KILL"]}], {hate: 1.0})
     m.add([s["PURGE"]], {hate: 0.4})
     m.add([s["DEHUMAN"]], {hate: 0.4})
     m.add([s["SEX"]], {sexual: 1.0})
@@ -281,11 +287,14 @@ def score_points(cp: np.ndarray, starts: np.ndarray) -> np.ndarray:
     new = np.append(True, r[1:] != r[:-1])
     previous = np.append(0, last[:-1])
     size = np.where(new, 0, np.maximum(first - previous - 1, 0))
+    # Latin words count as one where it is asked whether a gap is too wide for any clause
+    units = np.cumsum(begins | ~latin)
+    units = np.where(new, 0, units[np.maximum(first - 1, 0)] - units[previous])
     padded = np.append(stop, 0)
     bounds = np.empty(2 * len(first), np.int64)
     bounds[0::2], bounds[1::2] = np.minimum(np.where(new, first, previous + 1), first), first + 1
     strongest = np.maximum.reduceat(padded, bounds)[0::2]
-    gap = np.select([new, strongest == 4, size > 12, size > 6, size > 2, size > 0], [-1, SYMBOL["BREAK"], SYMBOL["FAR"], SYMBOL["G12"], SYMBOL["G6"], SYMBOL["G2"]], -1)
+    gap = np.select([new, strongest == 4, units > 12, size > 6, size > 2, size > 0], [-1, SYMBOL["BREAK"], SYMBOL["FAR"], SYMBOL["G12"], SYMBOL["G6"], SYMBOL["G2"]], -1)
     comma = np.where(~new & (strongest == 3), SYMBOL["COMMA"], -1)
     symbols = np.stack([comma, gap, kind], 1).ravel()
     text = np.repeat(r, 3)[symbols >= 0]

@@ -127,6 +127,16 @@ def test_clauses(text, label):
     assert (max(scores, key=scores.get) if max(scores.values()) >= THRESHOLD else None) == label
 
 
+@pytest.mark.parametrize(
+    ("text", "bad"),
+    [("I will kill you", True), ("i'll k*ll you", True), ("im gonna murder you", True), ("弄死你", True), ("我要打死你", True), ("砍死你", True), ("ぶっ殺す", True), ("殺してやる", True), ("I'm going to slit your throat", True),
+     ("this boss will kill you", False), ("i will kill the boss", False), ("kill it with fire", False), ("别说弄死你", False), ("don't say i will kill you", False), ("i will watch you", False),
+     ("you are such a worthless idiot", True), ("you really are quite simply a very big idiot", True), ("i saw you then we went home and after some other long days there he met some idiot", False)],
+)
+def test_threats_and_gaps_in_words(text, bad):
+    assert (max(score_array(pa.array(["x", text, "y"])).to_pylist()[1].values()) >= THRESHOLD) == bad
+
+
 def test_rates(spark):
     df = spark.createDataFrame([("a", "滚，蠢货"), ("a", "好看"), (None, None)], "source string, content string")
     assert {r.source: (r.texts, r.flagged, r.rate) for r in rates(with_scores(df, "content"), "source").collect()} == {"a": (2, 1, 0.5), None: (1, 0, 0.0)}
