@@ -42,6 +42,6 @@ def term_scores(records: DataFrame, record: str, terms: str, *, hot_rows: int =
 
 
 def most_marking(scores: DataFrame, record: str, *, least_texts: int) -> DataFrame:
-    """(record, term): the highest-scored term of each record of at least least_texts texts; of equal scores the first in order of text."""
+    """(record, term): the highest-scored term of each record of at least least_texts texts; of equal scores the first in order of text, where all are 0 as well."""
     ahead = F.struct((-F.col("score")).alias("score"), "term")
-    return scores.where((F.col("texts") >= least_texts) & (F.col("score") > 0)).groupBy(record).agg(F.min_by("term", ahead).alias("term"))
+    return scores.where(F.col("texts") >= least_texts).groupBy(record).agg(F.min_by("term", ahead).alias("term"))

@@ -42,6 +42,12 @@ def test_scores(spark, hot):
     assert term_scores(df.limit(0), "rec", "terms").collect() == []
 
 
+def test_records_whose_terms_are_everywhere_have_a_term(spark):
+    df = spark.createDataFrame([(r, [t]) for r in "pq" for t in "ba"], "rec string, terms array<string>")
+    for rows, want in ((df, {"p": "a", "q": "a"}), (df.where("rec = 'p'"), {"p": "a"})):
+        assert {r.rec: r.term for r in most_marking(term_scores(rows, "rec", "terms"), "rec", least_texts=2).collect()} == want
+
+
 def collapsed(text):
     while True:
         out, p = text, 1
