@@ -89,15 +89,25 @@ class _Reader(SimpleDataSourceStreamReader):
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
         rows = self._receive()
-        self.kept = (self.kept + [(start["n"] + i, r) for i, r in enumerate(rows)])[-100_000:]
+        self.kept += [(start["n"] + i, r) for i, r in enumerate(rows)]
         return iter(rows), {"n": start["n"] + len(rows)}
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return iter([r for n, r in self.kept if start["n"] <= n < end["n"]])
+        rows = [r for n, r in self.kept if start["n"] <= n < end["n"]]
+        if len(rows) != end["n"] - start["n"]:
+            raise ValueError(f"messages {start['n']} to {end['n']} of the chat are no longer there as a whole; {len(rows)} are")
+        return iter(rows)
+
+    def commit(self, end: dict) -> None:
+        self.kept = [(n, r) for n, r in self.kept if n >= end["n"]]
 
 
 class LiveChat(DataSource):
-    """spark.dataSource.register(LiveChat); spark.readStream.format("livechat") with options host, port, hello (messages divided by |) and wait."""
+    """spark.dataSource.register(LiveChat); spark.readStream.format("livechat") with options host, port, hello (messages divided by |) and wait.
+
+    Messages are kept until they are committed, to be read again after a failure; a range that is no longer there as a
+    whole, as after the driver's end, is an error.
+    """
 
     @classmethod
     def name(cls) -> str:

@@ -2,6 +2,7 @@ import socket
 import threading
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from hilite.sources import live, readers, sinks, web
@@ -101,6 +102,17 @@ def test_messages(spark):
     assert [tuple(r) for r in live.parsed(df, "raw", "t").collect()] == [(1.0, "1", "2", "n@S".replace("@S", "/"), "hi/", "3", "4")]
 
 
+def test_messages_are_kept_until_committed():
+    reader = live._Reader({})
+    reader._receive = lambda: [(0.0, str(i)) for i in range(150_000)]
+    _, end = reader.read({"n": 0})
+    assert len([*reader.readBetweenOffsets({"n": 0}, end)]) == 150_000
+    reader.commit({"n": 10})
+    assert [r[1] for r in reader.readBetweenOffsets({"n": 10}, {"n": 12})] == ["10", "11"]
+    with pytest.raises(ValueError, match="no longer"):
+        reader.readBetweenOffsets({"n": 9}, {"n": 12})
+
+
 def test_live_stream(spark):
     server = socket.create_server(("127.0.0.1", 0))
 
