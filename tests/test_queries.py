@@ -8,8 +8,8 @@ import pytest
 import __spark_entry__ as entry
 
 FOLDER = "/root/testdata/sf0.001"
-GENERAL = {**entry.general.QUERIES, **entry.reference.QUERIES}
-SQL = {**entry.general.SQL, **entry.reference.SQL}
+GENERAL = {**entry.general.QUERIES, **entry.catalogue.QUERIES}
+SQL = {**entry.general.SQL, **entry.catalogue.SQL}
 
 
 @pytest.fixture(scope="module")
