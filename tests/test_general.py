@@ -7,6 +7,7 @@ from hilite.functions.numbers import clock_seconds, identifier, play_micros, who
 from hilite.operators.dedupe import first_of_each, flag_first, merge_deliveries, without_copies
 from hilite.operators.intervals import periods_and_gaps
 from hilite.operators.packed import explode_packed, packed_values
+from hilite.session import exists, own_folder, release, shared_folder, written
 
 
 def values(spark, column, texts, kind="string"):
@@ -86,7 +87,8 @@ def test_packed_values(spark):
 
 def test_very_long_packed_values(spark):
     long = '"' + 'x""' * 100_000 + '",' + "y" * 300_000 + "," * 100_000 + "z"
-    assert [list(map(len, v)) for v in values(spark, packed_values, [long])] == [[200_000, 300_000, 1]]
+    blanks = "a" + "\t" * 300_000 + " " * 300_000 + '"x,y"' + " " * 300_000 + "\t,b"
+    assert [list(map(len, v)) for v in values(spark, packed_values, [long, blanks])] == [[200_000, 300_000, 1], [1, 3, 1]]
 
 
 def test_packed_rows(spark):
@@ -122,3 +124,22 @@ def test_periods_and_gaps(spark, seed):
     df = spark.createDataFrame(rows, "kind string, start_sec int, end_sec int").withColumnRenamed("kind", "cid")
     assert sorted(map(tuple, periods_and_gaps(df, "cid", "start_sec", "end_sec").collect())) == brute(rows)
     assert periods_and_gaps(df.limit(0), "cid", "start_sec", "end_sec").collect() == []
+
+
+class Elsewhere:
+    """A session of a cluster with nothing set."""
+
+    conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: default)})
+    sparkContext = type("Context", (), {"master": "spark://host:7077", "getConf": staticmethod(lambda: Elsewhere.conf)})
+
+
+def test_no_local_folder_on_a_cluster(spark):
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Elsewhere)
+    assert shared_folder(spark)
+
+
+def test_tables_go(spark):
+    assert written(spark.range(3), "t").count() == 3 and exists(spark, own_folder(spark))
+    release(spark)
+    assert not exists(spark, own_folder(spark))
