@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hilite.functions.numbers import clock_seconds, identifier
-from hilite.operators.dedupe import flag_first
+from hilite.operators.dedupe import merge_deliveries
 from hilite.operators.intervals import periods_and_gaps
 from hilite.operators.packed import explode_packed
 from hilite.plans.tables import table
@@ -15,9 +15,18 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return video.unionByName(explode_packed(table(spark, folder, "xinfan"), {"tags": "xinfan.tags"}, "season_id"))
 
 
+def p3_kept(spark: SparkSession, folder: str) -> DataFrame:
+    """The deliveries that a store holds once the last batch has come to all earlier ones: one of each message."""
+    rows = table(spark, folder, "barrage").select("delivery_id", "batch_id", identifier(F.col("row_id")).alias("message"))
+    first_of_last = rows.select(F.min(F.struct((-F.coalesce("batch_id", F.lit(-1))).alias("b"), F.col("delivery_id").alias("d")))["d"]).scalar()
+    new = F.col("delivery_id") >= first_of_last
+    rows = rows.drop("batch_id")
+    return merge_deliveries(rows.where(~new), rows.where(new), "message", ["delivery_id"]).select("delivery_id")
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "barrage").select("delivery_id", identifier(F.col("row_id")).alias("message"))
-    return flag_first(rows, "message", ["delivery_id"]).where(~F.col("is_first")).select("delivery_id")
+    """The deliveries that are not kept."""
+    return table(spark, folder, "barrage").select("delivery_id").join(p3_kept(spark, folder), "delivery_id", "left_anti")
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -25,7 +34,10 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return periods_and_gaps(labels, "cid", "start", "end").select("cid", "kind", "start_sec", "end_sec")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p3_found, p5_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_kept, p5_found)}
+
+_NUMBER = "regexp_replace(translate(row_id, '０１２３４５６７８９', '0123456789'), '[^0-9.]', '', 'g')::DECIMAL(30, 6)"
+
 
 def _packed_sql(source: str, key: str, column: str) -> str:
     body = f"replace(regexp_replace(regexp_replace(trim(\"{column}\"), '^\\[', ''), '\\]$', ''), '\\t', chr(9))"
@@ -47,7 +59,8 @@ def _clock_sql(column: str) -> str:
 SQL: dict[str, str] = {
     "p2_found": f"""SELECT field, rec_key, pos::INT AS pos, val FROM (SELECT field, rec_key, unnest(vals) AS val, generate_subscripts(vals, 1) AS pos FROM (
       {_packed_sql("video", "aid", "tags")} UNION ALL {_packed_sql("video", "aid", "metakeywords")} UNION ALL {_packed_sql("xinfan", "season_id", "tags")}))""",
-    "p3_found": """SELECT delivery_id FROM (SELECT delivery_id, row_number() OVER (PARTITION BY regexp_replace(translate(row_id, '０１２３４５６７８９', '0123456789'), '[^0-9.]', '', 'g')::DECIMAL(30, 6) ORDER BY delivery_id) AS r FROM barrage) WHERE r > 1""",
+    "p3_found": f"""SELECT delivery_id FROM (SELECT delivery_id, row_number() OVER (PARTITION BY {_NUMBER} ORDER BY delivery_id) AS r FROM barrage) WHERE r > 1""",
+    "p3_kept": f"""SELECT delivery_id FROM (SELECT delivery_id, row_number() OVER (PARTITION BY {_NUMBER} ORDER BY delivery_id) AS r FROM barrage) WHERE r = 1""",
     "p5_found": f"""WITH t AS (SELECT cid, {_clock_sql("start_time")} AS s, {_clock_sql("end_time")} AS e FROM label_interval),
       new AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY cid ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS n FROM t WHERE e > s),
       numbered AS (SELECT *, sum(n) OVER (PARTITION BY cid ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS i FROM new),
