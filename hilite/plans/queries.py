@@ -18,10 +18,11 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 def p3_kept(spark: SparkSession, folder: str) -> DataFrame:
     """The deliveries that a store holds once the last batch has come to all earlier ones: one of each message."""
     rows = table(spark, folder, "barrage").select("delivery_id", "batch_id", identifier(F.col("row_id")).alias("message"))
-    first_of_last = rows.select(F.min(F.struct((-F.coalesce("batch_id", F.lit(-1))).alias("b"), F.col("delivery_id").alias("d")))["d"]).scalar()
-    new = F.col("delivery_id") >= first_of_last
+    # one row for the driver; as a number it reaches the scans of both sides
+    first_of_last = rows.select(F.min(F.struct((-F.coalesce("batch_id", F.lit(-1))).alias("b"), F.col("delivery_id").alias("d"))).alias("x")).first().x
+    new = F.col("delivery_id") >= F.lit(first_of_last.d if first_of_last else None).cast("bigint")
     rows = rows.drop("batch_id")
-    return merge_deliveries(rows.where(~new), rows.where(new), "message", ["delivery_id"]).select("delivery_id")
+    return merge_deliveries(rows.where(~new | new.isNull()), rows.where(new), "message", ["delivery_id"]).select("delivery_id")
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
