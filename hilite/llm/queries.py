@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hilite.functions.numbers import identifier, play_micros, whole_number
-from hilite.llm.abuse import THRESHOLD, rates, with_scores
+from hilite.llm.abuse import THRESHOLD, group_names, rates, with_scores
 from hilite.llm.canonical import same_looks
 from hilite.llm.mixing import draw_mixture, reached_shares, targets_of
 from hilite.llm.packing import fill_containers, room_left
@@ -45,9 +45,15 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return same_looks(barrage, "content", table(spark, folder, "ref_phrase"), "phrase").select("delivery_id", "phrase_id")
 
 
+#: Labelled comments that names of groups are learned from, at most.
+LABELLED = 10_000
+
+
 def p7_scores(spark: SparkSession, folder: str) -> DataFrame:
-    """Every delivery with its scores."""
-    return with_scores(table(spark, folder, "barrage").select("delivery_id", "source", "content"), "content").drop("content")
+    """Every delivery with its scores; names of hated groups are learned from comment_label."""
+    labelled = table(spark, folder, "comment_label").select("content", "category").orderBy("sample_id").limit(LABELLED).collect()
+    groups = group_names((r.content, r.category) for r in labelled)
+    return with_scores(table(spark, folder, "barrage").select("delivery_id", "source", "content"), "content", groups).drop("content")
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:

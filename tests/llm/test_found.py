@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from hilite.llm.abuse import THRESHOLD, content_scores, rates, score_array, with_scores
+from hilite.llm.abuse import THRESHOLD, content_scores, group_names, rates, score_array, with_scores
 from hilite.llm.canonical import same_looks
 from hilite.llm.runs import collapse_runs, near_array
 from hilite.llm.terms import most_marking, term_scores, terms_of
@@ -117,12 +117,33 @@ LABELLED = "/root/testdata/sf0.01/comment_label.parquet"
 
 
 def test_labelled_comments(spark):
+    """Names of groups come from one half; the other half is held out."""
     rows = spark.read.parquet(LABELLED)
-    got = rows.withColumn("s", content_scores(rows.content)).collect()
+    groups = group_names([(r.content, r.category) for r in rows.where("sample_id % 2 = 0").collect()])
+    got = rows.where("sample_id % 2 = 1").withColumn("s", content_scores(rows.content, groups)).collect()
     right = sum((max(r.s) >= THRESHOLD) == (r.category != "none") for r in got)
     assert right / len(got) > 0.98
 
 
+def test_group_names():
+    said = ["Zorblans都该死", "我说Zorblans滚回去", "z0rblans 就是低等", "看见桥西户就想吐", "桥西户都该死！", "把桥西户全赶出去", "橘猫都该死", None, "wipe out every Zorblans"]
+    assert group_names([(t, "hate") for t in said] + [("甲乙丙都该死", "none")] * 5) == ("桥西户", "zorbians")
+    assert group_names([]) == () == group_names([("", "hate"), ("早", "hate")])
+    scores = score_array(pa.array(["Zorblans都该死", "Zorblans的衣服好看"]), ("zorblans",)).to_pylist()
+    assert scores[0]["hate"] == 1.0 and max(scores[1].values()) == 0
+
+
+@pytest.mark.parametrize(
+    ("text", "bad"),
+    [("kill yourself", True), ("kys", True), ("I'm going to kill you", True), ("操你妈", True), ("rape her", True), ("all immigrants should leave", True), ("faggot", True), ("you are trash", True), ("you absolute clown", True), ("people like you are trash", True),
+     ("你就是条狗", True), ("你们这群猪", True), ("外地人滚回去", True), ("女人没一个好东西", True), ("deport all refugees", True), ("muslims are vermin", True),
+     ("你出生在哪里", False), ("作者出生于上海", False), ("作者去四川旅游", False), ("你去四楼等我", False), ("楼主白吃白喝", False), ("胸有成竹想摸鱼", False), ("you took the trash out", False), ("he asked you about trash day", False),
+     ("你不是白痴", False), ("don't kill yourself", False), ("我想添加你的微信", False), ("女人的衣服好看", False), ("wipe out every boss", False), ("what a waste", False), ("you saw the clown", False), ("他的家族都很厉害", False), ("他不是说你是白痴", False)],
+)
+def test_general_language(text, bad):
+    assert (max(score_array(pa.array(["x", text, "y"])).to_pylist()[1].values()) >= THRESHOLD) == bad
+
+
 @pytest.mark.parametrize(
     ("text", "label"),
     [("you are an idiot", "abuse"), ("don't call people idiots", None), ("这个垃圾分类的梗", None), ("滚,傻-逼", "abuse"), ("an assassin passes the class", None), ("把灰塔佬杀光", "hate"),
