@@ -127,7 +127,7 @@ def test_labelled_comments(spark):
 
 def test_group_names():
     said = ["Zorblans都该死", "我说Zorblans滚回去", "z0rblans 就是低等", "看见桥西户就想吐", "桥西户都该死！", "把桥西户全赶出去", "橘猫都该死", None, "wipe out every Zorblans"]
-    assert group_names([(t, "hate") for t in said] + [("甲乙丙都该死", "none")] * 5) == ("桥西户", "zorbians")
+    assert group_names([(t, "hate") for t in said] + [("甲乙丙都该死", "none")] * 5) == ("zorbians", "桥西户")
     assert group_names([]) == () == group_names([("", "hate"), ("早", "hate")])
     scores = score_array(pa.array(["Zorblans都该死", "Zorblans的衣服好看"]), ("zorblans",)).to_pylist()
     assert scores[0]["hate"] == 1.0 and max(scores[1].values()) == 0
