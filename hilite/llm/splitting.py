@@ -5,6 +5,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hilite.functions.arrays import bound, running_sum
 from hilite.llm.tokens import BLANK, BROKEN, CLAUSE, LINE, PARAGRAPH, SENTENCE, VOCABULARY, token_map
 
 
@@ -27,26 +28,29 @@ def piece_pattern(n: int) -> str:
 
 
 def pieces(text: Column, classes: Column, ends: Column, limit: Limit) -> Column:
-    """ARRAY<STRUCT<max_tokens, piece, start_token, tokens, text>> of one text, by its tokens' boundary classes and ends in bytes."""
+    """ARRAY<STRUCT<max_tokens, piece, start_token, tokens, text>> of one text, by its tokens' boundary classes and ends in bytes.
+
+    What a piece needs of text and classes is cut out of their bytes, which takes no longer far behind in the text.
+    """
     fresh = limit.tokens - limit.overlap
     pattern = piece_pattern(fresh) if not limit.overlap else rf"\A(?:{piece_pattern(limit.tokens)})|{piece_pattern(fresh)}"
-    taken = F.transform(F.regexp_extract_all(classes, F.lit(pattern), F.lit(0)), F.length)
-    stops = F.aggregate(taken, F.array().cast("array<int>"), lambda done, n: F.concat(done, F.array(F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(0)) + n)))
+    stops = running_sum(F.transform(F.regexp_extract_all(classes, F.lit(pattern), F.lit(0)), F.length))
 
-    def piece(data: Column, stops: Column, stop: Column, i: Column) -> Column:
-        before = F.coalesce(F.get(stops, i - 1), F.lit(0))
+    def piece(x: Column, stop: Column, i: Column) -> Column:
+        before = F.coalesce(F.get(x["stops"], i - 1), F.lit(0)).cast("int")
         back = F.greatest(before - F.when(i > 0, limit.overlap).otherwise(0), F.lit(0))
-        broken = F.when(back == 0, 0).otherwise(F.length(F.regexp_extract(F.substring(classes, back, F.lit(8)), f"^{BROKEN}*", 0)))
-        start = F.least(back + broken, before)
-        first = F.coalesce(F.get(ends, start - 1), F.lit(0))
+        broken = F.when(back == 0, 0).otherwise(F.length(F.regexp_extract(F.substring(x["classes"], back, F.lit(8)).cast("string"), f"^{BROKEN}*", 0)))
+        return bound(F.struct(before.alias("before"), F.least(back + broken, before).alias("start"), stop.cast("int").alias("stop")), lambda y: cut(x, y, i))
+
+    def cut(x: Column, y: Column, i: Column) -> Column:
+        first = F.coalesce(F.get(ends, y["start"] - 1), F.lit(0))
         return F.struct(
-            F.lit(limit.tokens).alias("max_tokens"), (i + 1).cast("int").alias("piece"), start.cast("int").alias("start_token"), (stop - start).cast("int").alias("tokens"),
-            F.substring(data, first + 1, F.get(ends, stop - 1) - first).cast("string").alias("text"),
+            F.lit(limit.tokens).alias("max_tokens"), (i + 1).cast("int").alias("piece"), y["start"].alias("start_token"), (y["stop"] - y["start"]).alias("tokens"),
+            F.substring(x["data"], first + 1, F.get(ends, y["stop"] - 1) - first).cast("string").alias("text"),
         )
 
-    # an array of one element binds what would be worked out again for every piece
-    once = F.array(F.struct(text.cast("binary").alias("data"), stops.alias("stops")))
-    return F.get(F.transform(once, lambda x: F.transform(x.stops, lambda stop, i: piece(x.data, x.stops, stop, i))), F.lit(0))
+    whole = F.struct(text.cast("binary").alias("data"), classes.cast("binary").alias("classes"), stops.alias("stops"))
+    return bound(whole, lambda x: F.transform(x["stops"], lambda stop, i: piece(x, stop, i)))
 
 
 def split_items(df: DataFrame, item: str, text: str, limits: list[Limit], *, vocabulary: str = VOCABULARY) -> DataFrame:
