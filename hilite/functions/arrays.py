@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Elements in a block of a running sum.
 BLOCK = 128
+#: Elements of arrays that are summed from the start for each place.
+SHORT = 32
 
 
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -34,5 +36,8 @@ def running_sum(a: Column) -> Column:
         starts = bound(F.transform(b, total), before)
         return bound(starts, lambda s: F.flatten(F.transform(b, lambda x, k: inside(x, F.get(s, k)))))
 
-    sums = bound(F.transform(a, lambda x: x.cast("bigint")), lambda x: bound(blocks(x), placed))
-    return F.when(F.size(a) > 0, sums).when(a.isNotNull(), F.array().cast("array<bigint>"))
+    def short(x: Column) -> Column:
+        return F.transform(x, lambda _, i: total(F.slice(x, F.lit(1), i + 1)))
+
+    none = F.array().cast("array<bigint>")
+    return bound(a, lambda x: F.when(F.size(x) == 0, none).when(F.size(x) <= SHORT, short(x)).when(F.size(x) > SHORT, bound(blocks(x), placed)))

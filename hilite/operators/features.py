@@ -3,9 +3,10 @@
 from pyspark.ml.clustering import LDA
 from pyspark.ml.feature import CountVectorizer, Word2Vec
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hilite.operators.order import positions
 from hilite.operators.skew import join_by_frequency
 from hilite.session import written
 
@@ -21,14 +22,8 @@ def word_counts(tokens: DataFrame, window: list[str], word: str) -> DataFrame:
 
 
 def vocabulary(tokens: DataFrame, word: str) -> DataFrame:
-    """(word, token_id): ids in order of the words.
-
-    The words are ranked in slices of their first character: a slice's ids begin after the number of words before it.
-    """
-    words = tokens.select(word).where(F.col(word).isNotNull()).distinct().withColumn("__slice", F.substring(word, 1, 2))
-    before = words.groupBy("__slice").agg(F.count(F.lit(1)).alias("n")).select(F.col("__slice").alias("__s"), (F.sum("n").over(Window.orderBy("__slice")) - F.col("n")).alias("before"))
-    ranked = words.join(before, F.col("__slice") == F.col("__s"))
-    return ranked.select(word, (F.col("before") + F.row_number().over(Window.partitionBy("__slice").orderBy(word)) - 1).alias("token_id"))
+    """(word, token_id): ids from 0 in order of the words, numbered in slices by range, see positions."""
+    return positions(tokens.select(word).where(F.col(word).isNotNull()).distinct(), [], [word], "token_id")
 
 
 def tfidf(tokens: DataFrame, doc: str, word: str) -> DataFrame:

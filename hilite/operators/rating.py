@@ -1,8 +1,10 @@
 """How concentrated the topics of a window are, and which windows are highlights."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hilite.operators.skew import join_by_frequency
+
 
 def rate_windows(counts: DataFrame, window: list[str], n: str, dimension: Column) -> DataFrame:
     """(window, rating) of long counts, a row for each window and topic with its count in n: popvar(f) / (1 - sum p ln p).
@@ -23,6 +25,12 @@ def rating_bounds(rated: DataFrame, cid: str) -> DataFrame:
 
 
 def highlights(rated: DataFrame, cid: str, left: float = 0.3, right: float = 0.7) -> DataFrame:
-    """The windows rated above left * least + right * greatest of their video; windows without rating are none."""
-    by = Window.partitionBy(cid)
-    return rated.withColumn("__cut", left * F.min("rating").over(by) + right * F.max("rating").over(by)).where(F.col("rating") > F.col("__cut")).drop("__cut")
+    """The windows rated above left * least + right * greatest of their video; windows without rating are none.
+
+    The bounds, an aggregate, are joined back by the number of a video's windows, so a video with very many is not one
+    task. rated is read twice.
+    """
+    there = rated.where(F.col("rating").isNotNull() & F.col(cid).isNotNull())
+    cut = there.groupBy(cid).agg((left * F.min("rating") + right * F.max("rating")).alias("__cut"), F.count(F.lit(1)).alias("__n"))
+    joined = join_by_frequency(there, cid, cut, "__n", ["rating"], how="inner")
+    return joined.where(F.col("rating") > F.col("__cut")).select(*rated.columns)

@@ -2,9 +2,11 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hilite.operators.skew import join_by_frequency
+
 #: Windows of a video from which its edges are cut, and how many at each end.
 TRIM_ABOVE, TRIM = 180, 6
 
@@ -77,7 +79,12 @@ def labelled_items(intervals: DataFrame, items: DataFrame, cid: str, time: str,
 
 
 def trim_edges(windows: DataFrame, cid: str, index: str = "window_index", *, above: int = TRIM_ABOVE, cut: int = TRIM) -> DataFrame:
-    """windows without the first and last cut ones of each video that has more than above of them."""
-    by = Window.partitionBy(cid)
-    numbered = windows.withColumns({"__n": F.count(F.lit(1)).over(by), "__at": F.row_number().over(by.orderBy(index))})
-    return numbered.where((F.col("__n") <= above) | ((F.col("__at") > cut) & (F.col("__at") <= F.col("__n") - cut))).drop("__n", "__at")
+    """windows without the first and last cut ones of each video that has more than above of them.
+
+    Windows are numbered without holes, as tumbling gives them, so a video's first and last number, an aggregate that
+    is joined back, tell which are its edges.
+    """
+    ends = windows.groupBy(cid).agg(F.min(index).alias("__first"), F.max(index).alias("__last"), F.count(F.lit(1)).alias("__n"))
+    joined = join_by_frequency(windows.where(F.col(cid).isNotNull()), cid, ends, "__n", [index], how="inner")
+    inside = F.col(index).between(F.col("__first") + cut, F.col("__last") - cut)
+    return joined.where((F.col("__n") <= above) | inside).select(*windows.columns)

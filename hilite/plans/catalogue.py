@@ -254,16 +254,20 @@ TOK = rf"""tok AS (SELECT id, pos::INT AS pos, word, CASE WHEN regexp_matches(wo
 
 @query(f"""WITH {TOK} SELECT id, pos, word, flag, (sum(length(word)) OVER (PARTITION BY id ORDER BY pos) - length(word))::BIGINT AS start_position, (sum(length(word)) OVER (PARTITION BY id ORDER BY pos) - 1)::BIGINT AS end_position FROM tok""")
 def tokenize_offsets(spark, folder):
-    return tokens.offsets(comment_tokens(spark, folder))
+    return tokens.token_rows(table(spark, folder, "barrage"), "delivery_id", tokens.with_offsets(tokens.token_array(F.col("content"))))
 
 
 RUNS = """g AS (SELECT id, min(pos) AS pos, string_agg(word, '' ORDER BY pos) AS word, CASE WHEN flag = 'x' AND count(*) > 1 THEN 'emoji' ELSE flag END AS flag
   FROM (SELECT *, CASE WHEN flag = 'x' THEN pos - row_number() OVER (PARTITION BY id, flag ORDER BY pos) ELSE pos + 1000000 END AS k FROM tok) GROUP BY id, flag, k)"""
 
 
+def run_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    return tokens.token_rows(table(spark, folder, "barrage"), "delivery_id", tokens.with_emoji_runs(tokens.token_array(F.col("content"))))
+
+
 @query(f"WITH {TOK}, {RUNS} SELECT * FROM g")
 def emoji_runs(spark, folder):
-    return tokens.emoji_runs(comment_tokens(spark, folder))
+    return run_tokens(spark, folder)
 
 
 @query(f"WITH {TOK} SELECT id, pos, CASE WHEN flag = 'eng' THEN lower(word) ELSE word END AS word, flag FROM tok")
@@ -315,8 +319,9 @@ def punct_num_filter(spark, folder):
 
 @query(f"""WITH {TOK}, {REWRITTEN}, {CLEAN}, {B} SELECT cid, delivery_id, (row_number() OVER (PARTITION BY cid ORDER BY us NULLS FIRST, delivery_id) - 1)::BIGINT AS "index" FROM b WHERE delivery_id IN (SELECT id FROM cl)""")
 def survivor_index(spark, folder):
-    b = pools(spark, folder).select("delivery_id", "cid", "us")
-    return tokens.survivors(b, clean_tokens(spark, folder), "delivery_id", "cid", ["us", "delivery_id"]).select("cid", "delivery_id", "index")
+    kept = tokens.has_kept(F.col("content"), [tokens.Rule(*r) for r in RULES], REJECT)
+    b = pools(spark, folder).where(kept).select("delivery_id", "cid", "us")
+    return tokens.survivors(b, F.lit(True), "cid", ["us", "delivery_id"]).select("cid", "delivery_id", "index")
 
 
 EMOTIONS = [("joy", "laugh", 2.0, 1), ("joy", "awesome", 3.0, 1), ("surprise", "surprise", 2.0, 0), ("joy", "cry", 1.0, 1), ("sad", "cry", 2.0, -1), ("joy", "laugh", 2.0, 1)]
@@ -354,9 +359,18 @@ def word_lists(spark, folder):
 EMOJIS = {"😂": "laugh", "❤": "love", "❤️": "love", "orz": "bow", "!": "shout"}
 
 
-@query()
+_KEYS = sorted(EMOJIS, key=lambda k: (-len(k), k))
+_ANY, _BACK = "|".join(_KEYS), "|".join(k[::-1] for k in _KEYS)
+_OF = lambda k: "CASE " + k + " " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in EMOJIS.items()) + " END"
+
+
+@query(f"""WITH {TOK}, {RUNS}, s AS (SELECT id, pos, CASE WHEN {_OF("word")} IS NOT NULL THEN [{{'w': {_OF("word")}, 'f': CASE WHEN length(word) > 1 THEN flag ELSE 'emoji' END}}]
+  WHEN regexp_matches(word, '^(?:{_ANY})') THEN list_transform(regexp_extract_all(regexp_extract(word, '^(?:{_ANY})+'), '{_ANY}'), lambda k: {{'w': {_OF("k")}, 'f': 'emoji'}})
+  WHEN regexp_matches(word, '(?:{_ANY})$') THEN list_transform(list_reverse(regexp_extract_all(regexp_extract(reverse(word), '^(?:{_BACK})+'), '{_BACK}')), lambda k: {{'w': {_OF("reverse(k)")}, 'f': 'emoji'}})
+  WHEN flag = 'emoji' THEN [] ELSE [{{'w': word, 'f': flag}}] END AS x FROM g)
+  SELECT id, pos, u.w AS word, u.f AS flag, sub FROM (SELECT id, pos, unnest(x) AS u, (generate_subscripts(x, 1) - 1)::INT AS sub FROM s)""")
 def emoji_substitute(spark, folder):
-    return tokens.substitute_emojis(tokens.emoji_runs(comment_tokens(spark, folder)), EMOJIS)
+    return tokens.substitute_emojis(run_tokens(spark, folder), EMOJIS)
 
 
 DICTIONARY = [(w, 10.0, "n") for w in "名场面 头皮 发麻 弹幕 护体 空降 成功 片头曲 长镜头 旧书店 学生会长 怀表 烟火 高能 预警 从头 惊艳 浪漫 温柔 粗糙 最后 十分钟".split()] + [(w, 50.0, "d") for w in "简直 居然 果然 终于 有点 特别 太".split()]

@@ -2,11 +2,13 @@
 
 import math
 import random
+from itertools import accumulate
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from hilite.functions.arrays import running_sum
 from hilite.functions.timefmt import cid_of_path, clock_text, play_time_text
 from hilite.operators import classify, clips, cluster, comments, features, rating, tokens, windows
 from hilite.plans import pipeline
@@ -155,19 +157,42 @@ def test_rewrite_and_runs(spark):
     rules = [tokens.Rule("88", "A", "n"), tokens.Rule("886", "B", "n"), tokens.Rule("h+", "laugh", "n")]
     assert [r.word for r in tokens.rewrite(t, rules).orderBy("pos").collect()] == ["A", "x88", "laugh", "awww"]
     assert tokens.rewrite(t, []).count() == 4
-    runs = tokens.emoji_runs(token_rows(spark, (":", "x"), (")", "x"), ("a", "n"), ("!", "x"))).orderBy("pos").collect()
-    assert [(r.pos, r.word, r.flag) for r in runs] == [(0, ":)", "emoji"), (2, "a", "n"), (3, "!", "x")]
-    assert [(r.start_position, r.end_position) for r in tokens.offsets(token_rows(spark, ("ab", "n"), ("c", "n"), ("def", "n"))).orderBy("pos").collect()] == [(0, 1), (2, 2), (3, 5)]
-
-
-def test_emoji_words():
-    table = {"^_^": "smile", "^": "up", "T": "cry"}
-    assert tokens.emoji_words("^_^", "emoji", table) == [("smile", "emoji")]
-    assert tokens.emoji_words("T", "eng", table) == [("cry", "emoji")]
-    assert tokens.emoji_words("^_^^xx", "x", table) == [("smile", "emoji"), ("up", "emoji")]
-    assert tokens.emoji_words("ab^_^T", "x", table) == [("smile", "emoji"), ("cry", "emoji")]
-    assert tokens.emoji_words("??", "emoji", table) == []
-    assert tokens.emoji_words("word", "n", table) == [("word", "n")]
+    counted = [tokens.Rule("(h)\\1", "twice", "n"), tokens.Rule("h", "once", "n")]
+    assert [r.word for r in tokens.rewrite(token_rows(spark, ("hh", "n"), ("ha", "n")), counted).orderBy("pos").collect()] == ["twice", "once"]
+
+
+def arrays(spark, *lists):
+    kind = "array<struct<pos: int, word: string, flag: string>>"
+    return spark.createDataFrame([(i, t and [(k, *x) for k, x in enumerate(t)]) for i, t in enumerate(lists)], f"id int, t {kind}")
+
+
+def test_rules_within_a_text(spark):
+    df = arrays(spark, [(":", "x"), (")", "x"), ("a", "n"), ("!", "x")], [("ab", "n"), ("c", "n"), ("def", "n")], [("x", "x")] * 500, [], None)
+    runs = [[tuple(t) for t in r.t] if r.t is not None else None for r in df.orderBy("id").select(tokens.with_emoji_runs(F.col("t")).alias("t")).collect()]
+    assert runs == [[(0, ":)", "emoji"), (2, "a", "n"), (3, "!", "x")], [(0, "ab", "n"), (1, "c", "n"), (2, "def", "n")], [(0, "x" * 500, "emoji")], [], None]
+    places = [r.t and [(t.start_position, t.end_position) for t in r.t] for r in df.orderBy("id").select(tokens.with_offsets(F.col("t")).alias("t")).collect()]
+    assert places[1] == [(0, 1), (2, 2), (3, 5)] and places[2] == [(i, i) for i in range(500)] and places[3:] == [[], None]
+    assert [tuple(r) for r in tokens.token_rows(df, "id", tokens.with_emoji_runs(F.col("t"))).where("id = 0").collect()][0] == (0, 0, ":)", "emoji")
+    kept = tokens.kept_tokens(F.col("t"), [tokens.Rule("b+", "bee", "n")], ["!"])
+    rows = arrays(spark, [("BB", "eng"), (" ", "w"), ("12", "m"), ("!", "x")], [("!", "x")])
+    assert [[tuple(t) for t in r.t] for r in rows.orderBy("id").select(kept.alias("t")).collect()] == [[(0, "bee", "n")], []]
+    texts = spark.createDataFrame([("BB 12!",), ("12!",), (" ! !x",), ("",), (None,)], "t string")
+    assert [r.k for r in texts.select(tokens.has_kept(F.col("t"), [tokens.Rule("b+", "bee", "n")], ["!"]).alias("k")).collect()] == [True, False, True, False, False]
+
+
+def test_running_sums(spark):
+    lists = [[(i * 7) % 5 for i in range(n)] for n in (0, 1, 127, 128, 129, 3000)] + [None]
+    got = spark.createDataFrame([(i, a) for i, a in enumerate(lists)], "i int, a array<int>").orderBy("i").select(running_sum(F.col("a")).alias("s")).collect()
+    assert [r.s for r in got] == [None if a is None else list(accumulate(a)) for a in lists]
+
+
+def test_emoji_words(spark):
+    table = {"^_^": "smile", "^": "up", "T": "cry", "": "nothing"}
+    cases = {("^_^", "emoji"): [("smile", "emoji")], ("T", "eng"): [("cry", "emoji")], ("^_^^xx", "x"): [("smile", "emoji"), ("up", "emoji")], ("ab^_^T", "x"): [("smile", "emoji"), ("cry", "emoji")],
+             ("ab^^_^", "x"): [("up", "emoji"), ("smile", "emoji")], ("??", "emoji"): [], ("word", "n"): [("word", "n")]}
+    got = tokens.substitute_emojis(token_rows(spark, *cases), table).orderBy("pos", "sub").collect()
+    assert [(r.pos, r.word, r.flag, r.sub) for r in got] == [(i, *x, k) for i, c in enumerate(cases.values()) for k, x in enumerate(c)]
+    assert [r.word for r in tokens.substitute_emojis(token_rows(spark, ("a", "n"), (":)", "emoji")), {}).collect()] == ["a"]
 
 
 def test_segmenter(spark):
