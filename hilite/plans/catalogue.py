@@ -448,30 +448,46 @@ def zscore_rows(spark, folder):
 
 
 PAIRS = "p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_distance(a.v, b.v) AS d FROM v AS a, v AS b WHERE a.vec_id <> b.vec_id)"
+ASKED = "p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_distance(a.v, b.v) AS d FROM v AS a, v AS b WHERE a.vec_id <> b.vec_id AND a.vec_id % 50 = 0)"
 EPS = 1.15
 
 
-@query(f"WITH {V}, {PAIRS} SELECT a AS vec_id, round(d, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS r FROM p) WHERE r = 4")
+def nearest_of_asked(spark: SparkSession, folder: str, k: int, within: float = 0.0) -> DataFrame:
+    """The density estimates ask for every row whose id is divisible by 50 against all rows."""
+    e = embeddings(spark, folder)
+    return cluster.nearest(e.where("vec_id % 50 = 0"), e, "vec_id", "v", k, within=within)
+
+
+@query(f"WITH {V}, {ASKED} SELECT a AS vec_id, round(d, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS r FROM p) WHERE r = 4")
 def knn_kdist(spark, folder):
-    pairs = cluster.distances(embeddings(spark, folder), "vec_id", "v")
-    return cluster.kth_distance(pairs).select(F.col("a").alias("vec_id"), F.round("distance", 6).alias("distance"))
+    return nearest_of_asked(spark, folder, 4).where("rank = 4").select(F.col("a").alias("vec_id"), F.round("distance", 6).alias("distance"))
 
 
 @query(f"WITH {V}, {PAIRS} SELECT v.vec_id, 1 + count(d) AS n FROM v LEFT JOIN p ON v.vec_id = p.a AND d <= {EPS} GROUP BY v.vec_id")
 def eps_neighbours(spark, folder):
-    return cluster.eps_neighbours(embeddings(spark, folder), "vec_id", "v", EPS).groupBy(F.col("a").alias("vec_id")).agg(F.count(F.lit(1)).alias("n"))
+    return cluster.eps_counts(embeddings(spark, folder), "vec_id", "v", EPS)
 
 
-@query(f"WITH {V}, {PAIRS} SELECT round((SELECT count(*) FROM p WHERE d < {EPS}) / (SELECT count(*) FROM v), 6) AS min_pts")
+@query(f"WITH {V}, {ASKED} SELECT round((SELECT count(*) FROM p WHERE d < {EPS}) / (SELECT count(*) FROM v WHERE vec_id % 50 = 0), 6) AS min_pts")
 def min_pts(spark, folder):
-    e = embeddings(spark, folder)
-    return spark.createDataFrame([(round(cluster.mean_neighbours(cluster.distances(e, "vec_id", "v"), e.count(), EPS), 6),)], "min_pts double")
-
-
-@query()
+    return nearest_of_asked(spark, folder, 1, EPS).agg(F.round(F.sum("near") / F.count_if(F.col("rank") == 1), 6).alias("min_pts"))
+
+
+# the quartic's least squares in orthogonal polynomials of the places: moments of t, then the inflection
+@query(f"""WITH {V}, {ASKED}, k AS (SELECT d AS y, row_number() OVER (ORDER BY d) - 1 AS pl, count(*) OVER () AS n FROM (SELECT a, d, row_number() OVER (PARTITION BY a ORDER BY d, b) AS r FROM p) WHERE r = 4),
+  p0 AS (SELECT y, pl, n, 2.0 * pl / (n - 1) - 1 AS t FROM k),
+  q1 AS (SELECT *, t - avg(t) OVER () AS f1 FROM p0), q2a AS (SELECT *, t * f1 AS g FROM q1),
+  q2 AS (SELECT *, g - avg(g) OVER () - f1 * (sum(g * f1) OVER () / sum(f1 * f1) OVER ()) AS f2 FROM q2a), q3a AS (SELECT *, t * f2 AS h FROM q2),
+  q3 AS (SELECT *, h - avg(h) OVER () - f1 * (sum(h * f1) OVER () / sum(f1 * f1) OVER ()) - f2 * (sum(h * f2) OVER () / sum(f2 * f2) OVER ()) AS f3 FROM q3a), q4a AS (SELECT *, t * f3 AS u FROM q3),
+  q4 AS (SELECT *, u - avg(u) OVER () - f1 * (sum(u * f1) OVER () / sum(f1 * f1) OVER ()) - f2 * (sum(u * f2) OVER () / sum(f2 * f2) OVER ()) - f3 * (sum(u * f3) OVER () / sum(f3 * f3) OVER ()) AS f4 FROM q4a),
+  fit AS (SELECT *, avg(y) OVER () + f1 * (sum(y * f1) OVER () / sum(f1 * f1) OVER ()) + f2 * (sum(y * f2) OVER () / sum(f2 * f2) OVER ()) + f3 * (sum(y * f3) OVER () / sum(f3 * f3) OVER ()) + f4 * (sum(y * f4) OVER () / sum(f4 * f4) OVER ()) AS z FROM q4),
+  s AS (SELECT array_agg(z ORDER BY pl) AS z, array_agg(y ORDER BY pl) AS y, any_value(n) AS n FROM fit),
+  d AS (SELECT y, n, z[1] AS z0, z[2] - z[1] AS d1, z[3] - 2 * z[2] + z[1] AS d2, z[4] - 3 * z[3] + 3 * z[2] - z[1] AS d3, z[5] - 4 * z[4] + 6 * z[3] - 4 * z[2] + z[1] AS d4 FROM s),
+  c AS (SELECT y, n, d4 / 24 AS a, d3 / 6 - d4 / 4 AS b, d2 / 2 - d3 / 2 + 11 * d4 / 24 AS c FROM d)
+  SELECT round(CASE WHEN 36 * b * b - 96 * a * c < 0 THEN y[-1] ELSE y[least(greatest(trunc((-6 * b + sqrt(36 * b * b - 96 * a * c)) / (24 * a))::BIGINT, 0), n - 1) + 1] END, 6) AS eps FROM c""")
 def fitted_eps(spark, folder):
-    kd = [r.distance for r in cluster.kth_distance(cluster.distances(embeddings(spark, folder), "vec_id", "v")).orderBy("distance").collect()]
-    return spark.createDataFrame([(cluster.fitted_eps(kd),)], "eps double")
+    distances = nearest_of_asked(spark, folder, 4).where("rank = 4")
+    return spark.createDataFrame([(round(cluster.fitted_eps(distances, "distance"), 6),)], "eps double")
 
 
 @query(f"""WITH RECURSIVE {V}, p AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v AS a, v AS b WHERE list_distance(a.v, b.v) <= {EPS}), core AS MATERIALIZED (SELECT a FROM p GROUP BY a HAVING count(*) >= 4),
@@ -482,7 +498,10 @@ def dbscan_labels(spark, folder):
     return cluster.dbscan(embeddings(spark, folder), "vec_id", "v", EPS, 4)
 
 
-@query()
+CLUSTERS = SQL["dbscan_labels"]
+
+
+@query(CLUSTERS.rsplit("SELECT v.vec_id", 1)[0] + ", lab AS (SELECT v.vec_id" + CLUSTERS.rsplit("SELECT v.vec_id", 1)[1] + ") SELECT cluster, count(*) OVER (PARTITION BY cluster) AS members, vec_id FROM lab")
 def dbscan_members(spark, folder):
     return cluster.members(cluster.dbscan(embeddings(spark, folder), "vec_id", "v", EPS, 4), "vec_id")
 

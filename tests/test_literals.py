@@ -250,10 +250,43 @@ def test_dbscan(spark, seed):
     assert [got[i] for i in range(len(points))] == dbscan_loop(points, 0.7, 4)
 
 
-def test_eps_fit():
-    assert cluster.fitted_eps([1.0] * 3) == 1.0
-    x = [i / 10 for i in range(100)] + [20, 40, 80]
-    assert min(x) <= cluster.fitted_eps(x) <= max(x)
+def test_dbscan_of_dense_and_empty_tables(spark):
+    rng = random.Random(3)
+    points = [[rng.uniform(0, 1), rng.uniform(0, 9), 0.0] for _ in range(300)] + [[0.5, 4.0, 0.0]] * 40 + [None]
+    df = spark.createDataFrame([(i + 5, p) for i, p in enumerate(points)], "vec int, v array<double>")
+    got = {r.vec: r.cluster for r in cluster.dbscan(df, "vec", "v", 0.4, 7, block=32, dimensions=2).collect()}
+    assert [got[i + 5] for i in range(340)] == dbscan_loop(points[:340], 0.4, 7) and len(got) == 340
+    assert cluster.dbscan(df.limit(0), "vec", "v", 0.4, 7).collect() == []
+    two = spark.createDataFrame([(1, [0.0]), (2, [0.5]), (3, [9.0])], "id int, v array<double>")
+    assert sorted((r.cluster, r.members, r.id) for r in cluster.members(cluster.dbscan(two, "id", "v", 0.5, 2), "id").collect()) == [(-1, 1, 3), (0, 2, 1), (0, 2, 2)]
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(60)] + [(100, k) for k in range(101, 140)] + [(200, 201), (201, 200), (7, 7)]
+    got = {r.id: r.c for r in cluster.components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
+    assert got == {i: 0 for i in range(61)} | {i: 100 for i in range(100, 140)} | {200: 200, 201: 200}
+
+
+def test_nearest(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(60, 3))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, v array<double>")
+    got = cluster.nearest(df.where("id % 10 = 0"), df, "id", "v", 3, within=1.0, query_block=2, row_block=16).collect()
+    for q in range(0, 60, 10):
+        d = [(math.dist(x[q], x[j]), j) for j in range(60) if j != q]
+        own = sorted((r.rank, r.b, r.near) for r in got if r.a == q)
+        assert own == [(k + 1, j, sum(a < 1 for a, _ in d) if k == 0 else 0) for k, (_, j) in enumerate(sorted(d)[:3])]
+
+
+def test_eps_fit(spark):
+    fit = lambda x: cluster.fitted_eps(spark.createDataFrame([(float(a),) for a in x], "d double"), "d")
+    assert fit([1.0] * 3) == 1.0
+    rng = np.random.default_rng(1)
+    for x in ([i / 10 for i in range(100)] + [20, 40, 80], rng.gamma(2, 1, 200)):
+        x = sorted(x)
+        a, b, c, _, _ = np.polyfit(np.arange(len(x)), x, 4)
+        at = int((-6 * b + np.sqrt(36 * b * b - 96 * a * c)) / (24 * a))
+        assert fit(x) == x[min(max(at, 0), len(x) - 1)]
 
 
 def test_svm(spark):
