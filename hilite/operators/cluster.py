@@ -163,14 +163,17 @@ def fitted_eps(distances: DataFrame, distance: str) -> float:
     return placed.where(F.col("at") == place).first().y
 
 
-def _axes(rows: DataFrame, n: int, *, sample: int = 2000) -> np.ndarray:
-    """n orthonormal directions in which the rows are spread most, from at most sample rows, those of the lowest hashes."""
-    some = _matrix(pd.Series([r.v for r in rows.orderBy(F.xxhash64("id")).limit(sample).select("v").collect()]))
+def grid_axes(df: DataFrame, id_: str, vector: str, n: int = 3, *, sample: int = 2000) -> np.ndarray:
+    """n orthonormal directions in which the vectors are spread most, from at most sample rows, those of the lowest hashes. Any directions give a right grid."""
+    rows = df.where(F.col(id_).isNotNull() & F.col(vector).isNotNull()).orderBy(F.xxhash64(id_)).limit(sample).select(F.col(vector).cast("array<double>").alias("v")).collect()
+    if not rows:
+        return np.ones((1, 1))
+    some = _matrix(pd.Series([r.v for r in rows]))
     _, _, axes = np.linalg.svd(some - some.mean(0), full_matrices=True)
     return axes[: min(n, some.shape[1])]
 
 
-def _cells(df: DataFrame, id_: str, vector: str, eps: float, *, block: int, dimensions: int, sample: int) -> tuple[DataFrame, DataFrame]:
+def _cells(df: DataFrame, id_: str, vector: str, eps: float, *, block: int, axes: np.ndarray) -> tuple[DataFrame, DataFrame]:
     """(left, right) of blocks of rows, with the same key k, that hold every two rows at most eps apart at least once, a row with itself as well.
 
     The grid has cells of width eps in a few directions, so that such rows are in one cell or in neighbouring ones.
@@ -178,7 +181,6 @@ def _cells(df: DataFrame, id_: str, vector: str, eps: float, *, block: int, dime
     tasks' work; same: the two blocks are one.
     """
     rows = df.where(F.col(id_).isNotNull() & F.col(vector).isNotNull()).select(F.col(id_).alias("id"), F.col(vector).cast("array<double>").alias("v"), *(c for c in df.columns if c == "core"))
-    axes = _axes(rows, dimensions, sample=sample) if rows.limit(1).count() else np.zeros((1, 1))
     along = lambda x: F.aggregate(F.zip_with("v", F.array(*map(F.lit, x.tolist())), lambda a, b: a * b), F.lit(0.0), lambda s, y: s + y)
     # a cell is a little wider than eps, for what is lost in rounding
     rows = rows.withColumn("cell", F.array(*(F.floor(along(x) / (eps * (1 + 1e-9))) for x in axes)))
@@ -201,9 +203,9 @@ def _cells(df: DataFrame, id_: str, vector: str, eps: float, *, block: int, dime
     return left.select("k", (same & (F.col("b") == F.col("b2"))).alias("same"), "id", "v", *keep), right.select(F.col("k").alias("k2"), F.col("id").alias("id2"), F.transform("v", lambda x: x).alias("v2"), *(F.col(c).alias(f"{c}2") for c in keep))
 
 
-def eps_counts(df: DataFrame, id_: str, vector: str, eps: float, *, block: int = 512, dimensions: int = 3, sample: int = 2000) -> DataFrame:
+def eps_counts(df: DataFrame, id_: str, vector: str, eps: float, *, block: int = 512, axes: np.ndarray | None = None) -> DataFrame:
     """(id, n): how many rows are at most eps from each, itself as well. Only counts leave a block; see _cells for the blocks. Rows without id or vector are left out."""
-    left, right = _cells(df, id_, vector, eps, block=block, dimensions=dimensions, sample=sample)
+    left, right = _cells(df, id_, vector, eps, block=block, axes=grid_axes(df, id_, vector) if axes is None else axes)
 
     def count(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
@@ -260,7 +262,7 @@ def components(edges: DataFrame) -> DataFrame:
         state = new
 
 
-def dbscan(df: DataFrame, id_: str, vector: str, eps: float, least: float, *, block: int = 512, dimensions: int = 3, sample: int = 2000) -> DataFrame:
+def dbscan(df: DataFrame, id_: str, vector: str, eps: float, least: float, *, block: int = 512, dimensions: int = 3) -> DataFrame:
     """(id, cluster): clusters of density, numbered from 0 by their lowest core; NOISE for none.
 
     A row with at least least rows within eps, itself counted, is a core. Cores within eps of each other are one
@@ -272,9 +274,10 @@ def dbscan(df: DataFrame, id_: str, vector: str, eps: float, least: float, *, bl
     each such star near it. Where eps is as wide as the data, as in vectors of many dimensions, all rows are in
     neighbouring cells, and all blocks are held against all.
     """
-    counts = eps_counts(df, id_, vector, eps, block=block, dimensions=dimensions, sample=sample)
+    axes = grid_axes(df, id_, vector, dimensions)
+    counts = eps_counts(df, id_, vector, eps, block=block, axes=axes)
     flagged = df.select(id_, vector).join(counts, id_).select(id_, vector, (F.col("n") >= least).alias("core"))
-    left, right = _cells(written(flagged, "cores"), id_, vector, eps, block=block, dimensions=dimensions, sample=sample)
+    left, right = _cells(written(flagged, "cores"), id_, vector, eps, block=block, axes=axes)
     kind = df.schema[id_].dataType.simpleString()
 
     def link(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:

@@ -1,5 +1,6 @@
 """Vectors of windows and texts."""
 
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import LDA
 from pyspark.ml.feature import CountVectorizer, Word2Vec
 from pyspark.ml.functions import vector_to_array
@@ -68,11 +69,21 @@ def rbf(a: Column, b: Column, sigma: float) -> Column:
     return F.exp(-_sum(F.zip_with(a, b, lambda x, y: (x - y) * (x - y))) / (2 * sigma * sigma))
 
 
+def fit_lda(docs: DataFrame, words: str, *, topics: int = 8, seed: int = 1, iterations: int = 20) -> PipelineModel:
+    """A model of topics over arrays of words; every different word counts, as their number is counted first."""
+    different = docs.select(F.explode(words).alias("w")).agg(F.countDistinct("w")).first()[0]
+    count = CountVectorizer(inputCol=words, outputCol="__counts", minDF=1, vocabSize=max(different, 1))
+    return Pipeline(stages=[count, LDA(k=topics, seed=seed, maxIter=iterations, optimizer="online", featuresCol="__counts", topicDistributionCol="__topics")]).fit(docs)
+
+
+def topic_weights(model: PipelineModel, docs: DataFrame, key: list[str], *, least: float = 0.01) -> DataFrame:
+    """(key, topic, weight): the topic distribution of each document; weights below least count as 0 and have no row."""
+    return model.transform(docs).select(*key, F.posexplode(vector_to_array("__topics")).alias("topic", "weight")).where(F.col("weight") >= least)
+
+
 def lda_topics(docs: DataFrame, doc: str, words: str, *, topics: int = 8, seed: int = 1, least: float = 0.01, iterations: int = 20) -> DataFrame:
-    """(doc, topic, weight): the topic distribution of each document; weights below least count as 0 and have no row."""
-    counts = CountVectorizer(inputCol=words, outputCol="__counts", minDF=1).fit(docs).transform(docs)
-    model = LDA(k=topics, seed=seed, maxIter=iterations, optimizer="online", featuresCol="__counts", topicDistributionCol="__topics").fit(counts)
-    return model.transform(counts).select(doc, F.posexplode(vector_to_array("__topics")).alias("topic", "weight")).where(F.col("weight") >= least)
+    """(doc, topic, weight): the topic distribution of each document by a model fitted to all; see topic_weights."""
+    return topic_weights(fit_lda(docs, words, topics=topics, seed=seed, iterations=iterations), docs, [doc], least=least)
 
 
 def word_vectors(docs: DataFrame, words: str, *, size: int = 150, least: int = 5, seed: int = 1):

@@ -3,18 +3,20 @@
 The rows of events are the comments of one video (e), those of barrage the comments of many (b).
 """
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hilite.functions.numbers import play_micros
+from hilite.functions.numbers import clock_seconds, play_micros
 from hilite.functions.timefmt import cid_of_path, clock_text, play_time_text
 from hilite.operators import classify, clips, cluster, comments, features, rating, tokens, windows
 from hilite.operators.order import positions
 from hilite.plans import pipeline
 from hilite.plans.tables import table
-from hilite.sources import live, readers, web
+from hilite.session import own_folder, written
+from hilite.sources import live, readers, sinks, web
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -692,23 +694,181 @@ def insert_validate(spark, folder):
     return comments.valid_inserts(new, table(spark, folder, "video"), stored, "video_aid", "aid", "row_id").select("delivery_id", "reason")
 
 
+def through_files(spark: SparkSession, name: str) -> str:
+    """A folder for what a query writes and reads again."""
+    return f"{own_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+
+@query(f"""WITH {E} SELECT row_id, us::VARCHAR AS play_timestamp, sender_id::VARCHAR AS sender_id, topic || ' #' || coalesce(k, 0) AS content FROM e WHERE row_id % 4 <> 0""")
+def tsv_comments(spark, folder):
+    """Comments as lines of nine fields and more, read again; every fourth line lacks one and is dropped."""
+    e = events(spark, folder)
+    fields = [F.col("us").cast("string"), *(F.lit(x) for x in ("1", "25", "16777215", "0", "0")), F.col("sender_id").cast("string"), F.col("row_id").cast("string"), F.concat(F.col("topic"), F.lit(" #"), F.coalesce("k", F.lit(0)))]
+    line = F.when(F.col("row_id") % 4 == 0, F.concat_ws("\t", *fields[:8])).when(F.col("row_id") % 4 == 1, F.concat_ws("\t", *fields, F.lit("tail"))).otherwise(F.concat(F.lit("  "), F.concat_ws("\t", *fields), F.lit(" \t")))
+    return readers.comment_fields(e.select(line.alias("line")), "line").select(F.col("row_id").cast("bigint").alias("row_id"), "play_timestamp", "sender_id", "content")
+
+
+@query("""SELECT aid, 'r' || aid AS room_id, title AS room_name, 'h' || (aid::BIGINT % 7) AS ip, '80' AS port FROM (SELECT DISTINCT * FROM video) WHERE aid::BIGINT % 5 <> 0""")
+def room_servers(spark, folder):
+    """Rooms and servers in pages; a page whose record is no JSON has neither."""
+    v = table(spark, folder, "video").distinct()
+    record = F.when(F.col("aid").cast("bigint") % 5 == 0, "{no json}").otherwise(F.to_json(F.struct(F.concat(F.lit("r"), "aid").alias("room_id"), F.col("title").alias("room_name"))))
+    servers = F.url_encode(F.to_json(F.array(F.struct(F.concat(F.lit("h"), (F.col("aid").cast("bigint") % 7).cast("string")).alias("ip"), F.lit("80").alias("port")))))
+    html = F.concat(F.lit("<script>var $ROOM = "), record, F.lit(';</script>{"server_config":"'), servers, F.lit('"}'))
+    pages = v.select("aid", web.room_json(html).alias("room"), web.server_list(html).alias("servers"))
+    return pages.where("room.room_id IS NOT NULL").select("aid", "room.room_id", "room.room_name", F.inline("servers"))
+
+
+@query(f"""WITH {B} SELECT cid, delivery_id, us FROM b WHERE us IS NOT NULL AND cid IS NOT NULL AND cid IN (SELECT cid FROM b GROUP BY cid HAVING count(*) >= 100 AND max(us) / 10000000 <= count(*))""")
+def append_corpus(spark, folder):
+    """Comments of admitted videos appended to files by video, in two batches, and read again."""
+    path = through_files(spark, "appended")
+    b = pools(spark, folder).where("cid IS NOT NULL")
+    good = b.join(comments.admitted(b, "cid", "us", per=10_000_000).select("cid"), "cid", "left_semi").where("us IS NOT NULL").select("cid", "delivery_id", "us")
+    for half in (0, 1):
+        sinks.append_comments(good.where(F.col("delivery_id") % 2 == half), path)
+    return spark.read.schema("delivery_id bigint, us bigint, cid string").option("sep", "\t").csv(path).select("cid", "delivery_id", "us")
+
+
+@query(f"""WITH {E}, {CLIPS} SELECT (s // 60000000)::VARCHAR || ':' || ((s // 1000000) % 60)::VARCHAR AS "start", (f // 60000000)::VARCHAR || ':' || ((f // 1000000) % 60)::VARCHAR AS "end", 'highlight' AS label FROM clips""")
+def clips_as_text(spark, folder):
+    """Clips written as text with minutes and seconds, read again."""
+    path = through_files(spark, "clips")
+    sinks.write_clips(six_hour_clips(spark, folder).select("cid", *(F.expr(f"{x} div 1000000").alias(x) for x in ("start", "end")), "label"), path)
+    return spark.read.schema("cid string, start string, end string, label string").option("sep", "\t").csv(path).drop("cid")
+
+
+@query(f"""WITH {TOK} SELECT string_agg(word, chr(9) ORDER BY pos) AS value FROM (SELECT * FROM tok WHERE flag IN ('n', 'eng', 'm')) GROUP BY id""")
+def corpus_lines(spark, folder):
+    """The words of each comment as a line of a training corpus, written and read again."""
+    path = through_files(spark, "corpus")
+    sinks.write_corpus(comment_tokens(spark, folder).where("flag IN ('n', 'eng', 'm')"), path)
+    return spark.read.text(path)
+
+
+@query(f"""WITH {B}, s AS (SELECT delivery_id, row_number() OVER (ORDER BY us NULLS FIRST, delivery_id) AS place FROM b) SELECT place::BIGINT AS place, delivery_id FROM s""")
+def sorted_comments(spark, folder):
+    """sort_comments over all pools; the place of each row in the sorted files."""
+    ordered = comments.sort_comments(pools(spark, folder).select("play_timestamp", "delivery_id", (F.col("us") / 1_000_000).cast("decimal(38,18)").cast("string").alias("seconds")), "seconds", "delivery_id")
+    kept = written(ordered.withColumn("slice", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()).select("delivery_id", "slice", "at"), "sorted")
+    return positions(kept, [], ["at"], "place").select((F.col("place") + 1).alias("place"), "delivery_id")
+
+
+@query(f"WITH {V}, z AS (SELECT v AS zero FROM v ORDER BY vec_id LIMIT 1) SELECT vec_id, round(list_distance(v, zero), 6) AS d FROM v, z")
+def euclidean_distance(spark, folder):
+    e = embeddings(spark, folder)
+    first = e.select(F.min_by("v", "vec_id")).scalar()
+    return e.withColumn("first", first).select("vec_id", F.round(features.euclidean(F.col("v"), F.col("first")), 6).alias("d"))
+
+
+@query("""SELECT doc_id, n_chars::VARCHAR AS views, (n_chars % 97)::VARCHAR AS comments, (doc_id % 7)::VARCHAR AS coins, '--' AS favourites, CASE WHEN doc_id % 2 = 0 THEN (doc_id % 40 + 1)::INT END AS pages FROM documents WHERE doc_id % 3 <> 0
+  UNION ALL SELECT doc_id, NULL, NULL, NULL, NULL, CASE WHEN doc_id % 2 = 0 THEN (doc_id % 40 + 1)::INT END FROM documents WHERE doc_id % 3 = 0""")
+def page_counters(spark, folder):
+    """The counters of a video's page, all or none, and the number of pages of a listing."""
+    d = table(spark, folder, "documents").select("doc_id", "n_chars")
+    counter = lambda name, value: F.concat(F.lit(f'<span id="{name}">'), value, F.lit("</span>\n"))
+    block = F.concat(F.lit('<div class="v-title-info">'), counter("dianji", F.col("n_chars")), counter("dm_count", F.col("n_chars") % 97), counter("v_ctimes", F.col("doc_id") % 7), F.when(F.col("doc_id") % 3 != 0, counter("stow_count", F.lit("--"))).otherwise(F.lit("")), F.lit("</div>"))
+    list_ = F.concat(F.lit('<div class="pagelistbox"><a class="p">1</a>'), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit('<a class="p endPage" href="x">'), F.col("doc_id") % 40 + 1, F.lit("</a>"))).otherwise(F.lit("")), F.lit("</div>"))
+    pages = d.select("doc_id", web.counters(block).alias("c"), web.listed_pages(list_).alias("pages"))
+    return pages.select("doc_id", *(F.col(f"c.{x}").alias(x) for x in ("views", "comments", "coins", "favourites")), "pages")
+
+
+@query("SELECT season_id, tag, pos::INT AS pos FROM (SELECT season_id, unnest(t) AS tag, generate_subscripts(t, 1) AS pos FROM (SELECT DISTINCT season_id, ['a' || season_id, 'b'] AS t FROM xinfan)) WHERE season_id::BIGINT % 3 = 0")
+def season_details(spark, folder):
+    """Tags of seasons whose answer is a success, in order."""
+    x = table(spark, folder, "xinfan").select("season_id").distinct()
+    tags = F.array(F.struct(F.concat(F.lit("a"), "season_id").alias("tag_name")), F.struct(F.lit("b").alias("tag_name")))
+    number = F.col("season_id").cast("bigint") % 3
+    answer = F.to_json(F.struct(F.when(number == 1, 1).otherwise(0).alias("code"), F.when(number == 2, "denied").otherwise("success").alias("message"), F.struct(tags.alias("tags")).alias("result")))
+    packed = x.select("season_id", web.season_tags(answer).alias("t")).where("t IS NOT NULL")
+    return packed.select("season_id", F.posexplode(F.split("t", "\t")).alias("pos", "tag")).withColumn("pos", F.col("pos") + 1)
+
+
+@query("SELECT folder, count(*) AS files FROM (VALUES ('p'), ('p'), ('q')) AS t(folder) GROUP BY folder")
+def listed_files(spark, folder):
+    """The files of folders below a path."""
+    path = through_files(spark, "listed")
+    for name, n in (("p", 2), ("q", 1)):
+        spark.range(n).select(F.col("id").cast("string")).repartitionByRange(n, "id").write.text(f"{path}/{name}")
+    files = readers.list_files(spark, path, "*.txt")
+    return files.groupBy(F.regexp_extract("path", r"([^/]*)/[^/]*$", 1).alias("folder")).agg(F.count(F.lit(1)).alias("files"))
+
+
 # whole runs ---------------------------------------------------------------------------------------------------------
 
 
+F5 = pipeline.Method("f", 5)
+
+
 @query()
 def pipeline_full(spark, folder):
     e = events(spark, folder)
-    found, _ = pipeline.train_and_evaluate(e, e, intervals(spark), "cid", "us", "topic", TOPICS, pipeline.Settings(HOUR, 0.7, 0.3, False))
+    found, _ = pipeline.train_and_evaluate(e, e, intervals(spark), "cid", "us", "topic", F5, pipeline.Settings(HOUR, 0.7, 0.3, False))
     return found
 
 
 @query()
 def pipeline_measures(spark, folder):
     e = events(spark, folder)
-    _, measures = pipeline.train_and_evaluate(e, e, intervals(spark), "cid", "us", "topic", TOPICS, pipeline.Settings(HOUR, 0.7, 0.3, False))
+    _, measures = pipeline.train_and_evaluate(e, e, intervals(spark), "cid", "us", "topic", F5, pipeline.Settings(HOUR, 0.7, 0.3, False))
     return measures
 
 
+QUARTER = HOUR // 4
+UNALIGNED = [(1, 78, "a"), (203, 221, "a"), (399, 523, "a")]  # quarters of an hour
+
+
+def unaligned(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([("events", a * QUARTER, b * QUARTER, x) for a, b, x in UNALIGNED], "cid string, start bigint, end bigint, label string")
+
+
+UNALIGNED_SQL = f"i AS (SELECT unnest({[a * QUARTER for a, *_ in UNALIGNED]}) AS f, unnest({[b * QUARTER for _, b, _ in UNALIGNED]}) AS l)"
+
+
+@query(f"""WITH {E}, {UNALIGNED_SQL}, w AS (SELECT unnest(range(f, l, {HOUR})) AS s FROM i)
+  SELECT s AS "start", topic, count(*)::DOUBLE AS n FROM w JOIN e ON us BETWEEN s AND s + {HOUR} GROUP BY ALL""")
+def training_vectors(spark, folder):
+    """The vectors that windows of intervals train with; the intervals begin at any quarter of an hour."""
+    own = windows.labelled_items(unaligned(spark), events(spark, folder), "cid", "us", "topic", HOUR)
+    return own.select("start", F.explode("n").alias("topic", "n"))
+
+
+@query(f"""WITH {E}, {UNALIGNED_SQL}, {CLIPS}, p AS (SELECT s, f, 'a' AS label FROM clips), q AS (SELECT f AS s, l AS f, 'a' AS label FROM i), m AS (SELECT greatest(p.s, q.s) AS s, least(p.f, q.f) AS f, 'a' AS label, 'a' AS base_label FROM p, q WHERE p.s <= q.f AND p.f >= q.s), {_TIME}, pr AS (SELECT t.x / pp.x AS a, t.x / qq.x AS b, t.n / pp.n AS c, t.n / qq.n AS d FROM t, pp, qq)
+  SELECT round(a, 6) AS time_p, round(b, 6) AS time_r, round(coalesce(2 * a * b / nullif(a + b, 0), 0), 6) AS time_f1, round(c, 6) AS label_p, round(d, 6) AS label_r FROM pr""")
+def pipeline_measures_unaligned(spark, folder):
+    """The whole run with intervals of one label, which every highlight gets then, so that SQL can tell the measures."""
+    e = events(spark, folder)
+    _, m = pipeline.train_and_evaluate(e, e, unaligned(spark), "cid", "us", "topic", F5, pipeline.Settings(SIX, 0.7, 0.3, False))
+    return m.select(*(F.round(c, 6).alias(c) for c in ("time_p", "time_r", "time_f1", "label_p", "label_r")))
+
+
+def pool_run(spark: SparkSession, folder: str, method: pipeline.Method, **more) -> tuple[DataFrame, DataFrame]:
+    """The whole run over the pools of barrage, with the words of their comments and all labelled intervals."""
+    b = pools(spark, folder).where("us >= 0 AND cid IS NOT NULL").select("cid", "us", "content")
+    words = b.select("cid", "us", F.explode(F.regexp_extract_all(F.lower("content"), F.lit(rf"[a-z0-9]+|{tokens.WORDS}+"), F.lit(0))).alias("word"))
+    l = table(spark, folder, "label_interval").select("cid", *((clock_seconds(F.col(f"{x}_time")).cast("bigint") * 1_000_000).alias(x) for x in ("start", "end")), "label").where("cid IS NOT NULL AND label IS NOT NULL AND end > start")
+    return pipeline.train_and_evaluate(b, words, l, "cid", "us", "word", method, pipeline.Settings(TEN, 0.4, 0.6, True), **more)
+
+
+@query()
+def pipeline_wordbase(spark, folder):
+    """Clips of windows rated and labelled by the words that are in them."""
+    return pool_run(spark, folder, pipeline.Method("wordbase"))[0]
+
+
+@query()
+def pipeline_lda(spark, folder):
+    """Clips of windows rated and labelled by the topics of their words."""
+    return pool_run(spark, folder, pipeline.Method("lda", 8))[0]
+
+
+@query()
+def pipeline_held_out(spark, folder):
+    """Measures of every fourth video, by machines trained on the others."""
+    return pool_run(spark, folder, pipeline.Method("lda", 8), held_out=F.pmod(F.xxhash64("cid"), F.lit(4)) == 0)[1]
+
+
 def event_vectors(spark: SparkSession, folder: str) -> DataFrame:
     """events with the mean vector of their words."""
     from pyspark.ml.functions import vector_to_array
@@ -723,7 +883,7 @@ def pipeline_clusters(spark, folder):
     """The whole run with topics that are clusters of comment vectors."""
     e = event_vectors(spark, folder)
     items = cluster.clusterings(e, "cid", "v", [20])
-    found, _ = pipeline.train_and_evaluate(e, items, intervals(spark), "cid", "us", "topic", [*range(20)], pipeline.Settings(HOUR, 0.4, 0.6, False))
+    found, _ = pipeline.train_and_evaluate(e, items, intervals(spark), "cid", "us", "topic", pipeline.Method("f", 20), pipeline.Settings(HOUR, 0.4, 0.6, False))
     return found
 
 

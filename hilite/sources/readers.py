@@ -26,6 +26,7 @@ def read_comments(spark: SparkSession, path: str) -> DataFrame:
     return comment_fields(lines, "value")
 
 
+# Fixed value: a comment of an XML document, its eight attributes and its text.
 XML_COMMENT = r'(?s)<d p="([^,"]*),([^,"]*),([^,"]*),([^,"]*),([^,"]*),([^,"]*),([^,"]*),([^,"]*)">(.*?)</d>'
 
 
@@ -99,3 +100,8 @@ def read_segments(spark: SparkSession, path: str) -> DataFrame:
     """Cached segments of comments, a JSON array a file."""
     files = spark.read.text(path, wholetext=True).select(cid_of_path(F.input_file_name()).alias("cid"), F.from_json("value", SEGMENTS).alias("s"))
     return files.select("cid", F.inline("s"))
+
+
+def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """(path, length, modificationTime) of the files below a path whose names fit a pattern; their contents are not read."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path).select("path", "length", "modificationTime")

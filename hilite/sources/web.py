@@ -26,6 +26,22 @@ def html_fields(html: Column, url: Column) -> dict[str, Column]:
     }
 
 
+# The identifiers of a page's counters, in the order of the page.
+COUNTERS = {"dianji": "views", "dm_count": "comments", "v_ctimes": "coins", "stow_count": "favourites"}
+
+
+def counters(html: Column) -> Column:
+    """STRUCT<views, comments, coins, favourites> of a video's page as text, all of them or null."""
+    block = r'(?s)<div\s+class="v-title-info">' + "".join(rf'.*?<span\s+id="{name}">(.*?)</span>' for name in COUNTERS) + ".*?</div>"
+    got = F.struct(*(F.regexp_extract(html, block, i).alias(name) for i, name in enumerate(COUNTERS.values(), 1)))
+    return F.when(html.rlike(block), got)
+
+
+def listed_pages(html: Column) -> Column:
+    """The number of pages that a listing tells in its pager, null where it has none."""
+    return F.regexp_extract(html, r'(?s)<div class="pagelistbox">.*?<a class="p endPage"[^>]*>(\d+)</a>', 1).try_cast("int")
+
+
 def listing(html: Column, least: int = 100) -> Column:
     """ARRAY<STRUCT<url, comments>> of a listing's videos with at least least comments."""
     pattern = r'<a href="([^"]+)"[^>]*>[^<]*</a>\s*<i class="dm" number="(\d+)"'
@@ -58,7 +74,7 @@ def season_tags(json: Column) -> Column:
 
 
 def season_episodes(df: DataFrame, json: str) -> DataFrame:
-    return df.select(*(c for c in df.columns if c != json), F.from_json(json, SEASON).alias("a")).where(F.col("a.code") == 0).select(*(c for c in df.columns if c != json), F.inline("a.result.episodes"))
+    return df.select(*(c for c in df.columns if c != json), F.from_json(json, SEASON).alias("a")).where((F.col("a.code") == 0) & (F.col("a.message") == "success")).select(*(c for c in df.columns if c != json), F.inline("a.result.episodes"))
 
 
 def room_json(html: Column, schema: str = "struct<room_id: string, room_name: string, owner_name: string>") -> Column:

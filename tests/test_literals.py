@@ -43,7 +43,7 @@ def test_training_uses_these_windows(spark):
     at = [(1, "x"), (2, "x"), (3, "x"), (10, "x"), (11, "y"), (12, "y"), (13, "y"), (20, "y"), (31, "x"), (32, "x"), (33, "x"), (34, "x"), (42, "y"), (43, "y"), (44, "y"), (46, "y")]
     c = spark.createDataFrame([("v", s * S, t) for s, t in at], "cid string, us bigint, topic string")
     i = spark.createDataFrame([("v", 9 * S + 500_000, 10 * S + 500_000, "y"), ("v", 29 * S, 30 * S, "x")], "cid string, start bigint, end bigint, label string")
-    clips_, _ = pipeline.train_and_evaluate(c, c, i, "cid", "us", "topic", ["x", "y"], pipeline.Settings(10 * S, 0.0, 0.1, False))
+    clips_, _ = pipeline.train_and_evaluate(c, c, i, "cid", "us", "topic", pipeline.Method("f", 2), pipeline.Settings(10 * S, 0.0, 0.1, False))
     assert {(r.start // S, r.end // S, r.label) for r in clips_.collect()} >= {(30, 40, "x"), (40, 50, "y")}
 
 
@@ -68,7 +68,7 @@ def test_parameter_search(spark):
     for number, left, right in ((2, 0.3, 0.2), (3, 0.5, 0.2), (5, 0.3, 0.7)):
         items = cluster.clusterings(c, "cid", "v", [number])
         assert items.count() == 300 and items.select("topic").distinct().count() == number
-        _, m = pipeline.train_and_evaluate(c, items, i, "cid", "us", "topic", [*range(number)], pipeline.Settings(10 * S, left, right, False))
+        _, m = pipeline.train_and_evaluate(c, items, i, "cid", "us", "topic", pipeline.Method("f", number), pipeline.Settings(10 * S, left, right, False))
         want = {r.cid: tuple(r)[1:] for r in m.collect()}
         assert {r.cid: tuple(r)[4:] for r in got if (r.cluster_num, r.left, r.right) == (number, left, right)} == want
 
@@ -301,6 +301,46 @@ def test_svm(spark):
         assert all(r.predict_label is None for r in got if r.i >= 900) and len(got) == 152
 
 
+def test_solver():
+    """Two points apart by d: both multipliers are 1 / (1 - exp(-gamma d^2)), up to c, and the threshold is in the middle. Four in a cross: equal multipliers by symmetry."""
+    for d in (0.5, 2.0):
+        k = np.array([[1, np.exp(-d * d)], [np.exp(-d * d), 1]])
+        w, b = classify.fit_binary(k, np.array([1.0, -1.0]), 100.0, tolerance=1e-9)
+        assert np.allclose(w, [1 / (1 - k[0, 1]), -1 / (1 - k[0, 1])]) and abs(b) < 1e-9
+        assert np.allclose(classify.fit_binary(k, np.array([1.0, -1.0]), 0.25)[0], [0.25, -0.25])
+    x = classify.Points.of([[0, 0], [1, 1], [0, 1], [1, 0]])
+    k = classify.kernel(x, x, 1.0)
+    w, b = classify.fit_binary(k, np.array([1.0, 1, -1, -1]), 1e6, tolerance=1e-10)
+    assert np.allclose(np.abs(w), 1 / (1 + np.exp(-2) - 2 * np.exp(-1))) and abs(b) < 1e-6
+
+
+def test_svm_of_maps(spark):
+    """Maps give what the same vectors as arrays give, for one video and for many at once."""
+    rng = np.random.default_rng(6)
+    rows = [(f"c{i % 2}", i, [float(x) for x in rng.integers(0, 4, 5) * (rng.random(5) < 0.6) + (i % 3 == np.arange(5)) * 3], "abc"[i % 3]) for i in range(90)]
+    df = spark.createDataFrame(rows, "cid string, i int, v array<double>, label string")
+    maps = df.withColumn("v", F.map_filter(F.map_from_arrays(F.array(*map(F.lit, "pqrst")), "v"), lambda k, x: x > 0))
+    by = lambda d: {r.i: r.predict_label for r in d.collect()}
+    assert by(classify.svm_predict(df.where("i < 60"), df, "cid", "v", "label")) == by(classify.svm_predict(maps.where("i < 60"), maps, "cid", "v", "label", dimension=5))
+    pooled = by(classify.svm_predict_pooled(df.where("i < 60"), df, "v", "label"))
+    assert pooled == by(classify.svm_predict_pooled(maps.where("i < 60"), maps, "v", "label", dimension=5))
+    assert sum(pooled[i] == "abc"[i % 3] for i in range(60, 90)) >= 24
+    assert set(by(classify.svm_predict_pooled(df.limit(0), df, "v", "label")).values()) == {None}
+    with pytest.raises(ValueError, match="more than 5"):
+        classify.svm_predict_pooled(df, df, "v", "label", most=5)
+
+
+def test_held_out_videos(spark):
+    at = [(v, s, "xyx"[s // 30 % 3]) for v in ("p", "q", "r") for s in range(0, 120, 2)]
+    c = spark.createDataFrame([(v, s * S, t) for v, s, t in at], "cid string, us bigint, topic string")
+    i = spark.createDataFrame([(v, a * S, b * S, t) for v in ("p", "q", "r") for a, b, t in ((0, 28, "x"), (31, 58, "y"))], "cid string, start bigint, end bigint, label string")
+    for method in (pipeline.Method("f", 2), pipeline.Method("wordbase"), pipeline.Method("lda", 2)):
+        found, measures = pipeline.train_and_evaluate(c, c, i, "cid", "us", "topic", method, pipeline.Settings(10 * S, 0.0, 0.0, False), held_out=F.col("cid") == "r")
+        assert {r.cid for r in found.collect()} <= {"r"} and [r.cid for r in measures.collect()] == ["r"]
+    with pytest.raises(ValueError, match="no method"):
+        pipeline.Method("g")
+
+
 def test_times_as_text(spark):
     df = spark.createDataFrame([(125, "/x/y/935527_train.txt"), (4503, "9.txt.gz")], "s int, p string")
     got = df.select(play_time_text(F.col("s")), clock_text(F.col("s")), cid_of_path(F.col("p"))).collect()
