@@ -73,17 +73,17 @@ def _pass(cp: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def collapse_repeats(cp: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Texts with every character or group that is repeated on the spot there once, shorter groups first, until nothing repeats."""
-    out, out_starts = _pass(cp, starts)
-    changed = np.flatnonzero(np.diff(out_starts) != np.diff(starts))
-    if not len(changed):
-        return out, out_starts
-    stay = np.ones(len(starts) - 1, bool)
-    stay[changed] = False
-    size = np.diff(out_starts)
-    by_char = np.repeat(stay, size)
-    again = collapse_repeats(out[~by_char], np.concatenate([[0], np.cumsum(size[~stay])]))
-    return _merged([(np.flatnonzero(stay), out[by_char], np.concatenate([[0], np.cumsum(size[stay])])), (changed, *again)], len(starts) - 1)
+    """Texts with every character or group that is repeated on the spot there once, shorter groups first, until nothing repeats. Each pass takes time with the square of the longest text that is left."""
+    rows, parts = len(starts) - 1, []
+    ids = np.arange(rows)
+    while len(ids):
+        out, out_starts = _pass(cp, starts)
+        size = np.diff(out_starts)
+        stay = size == np.diff(starts)
+        by_char = np.repeat(stay, size)
+        parts.append((ids[stay], out[by_char], np.concatenate([[0], np.cumsum(size[stay])])))
+        ids, cp, starts = ids[~stay], out[~by_char], np.concatenate([[0], np.cumsum(size[~stay])])
+    return _merged(parts, rows)
 
 
 def near_array(array: pa.Array) -> pa.Array:
