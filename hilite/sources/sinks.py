@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from hilite.functions.timefmt import clock_text, play_time_text
 from hilite.operators.comments import admitted, valid_inserts
+from hilite.session import exists
 
 
 def append_comments(df: DataFrame, path: str, *, corpus: bool = False) -> None:
@@ -18,12 +19,7 @@ def append_comments(df: DataFrame, path: str, *, corpus: bool = False) -> None:
 def insert(new: DataFrame, parents: DataFrame, path: str, foreign: str, parent_key: str, key: str) -> bool:
     """Write new to the table at path in one commit if every row has a parent and a key of its own; otherwise write nothing. Whether it was written."""
     spark = new.sparkSession
-    try:
-        stored = spark.read.parquet(path).select(key)
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        stored = new.limit(0).select(key)
+    stored = spark.read.schema(new.schema).parquet(path).select(key) if exists(spark, path) else new.limit(0).select(key)
     if valid_inserts(new, parents, stored, foreign, parent_key, key).where(F.col("reason").isNotNull()).limit(1).count():
         return False
     new.write.mode("append").parquet(path)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hilite.operators.dedupe import first_of_each
 from hilite.operators.rating import highlights, rate_windows
+from hilite.session import exists
 from hilite.sources.live import parsed
 
 
@@ -26,20 +27,22 @@ def once(stream: DataFrame, key: str, time: str, late: str) -> DataFrame:
     return stream.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
 
 
+def first_deliveries(stream: DataFrame, key: str) -> DataFrame:
+    """A stream with the first delivery of each message however late others come: the keys of all messages are its state, in the stream's own state store, and no stored rows are read again."""
+    return stream.dropDuplicates([key])
+
+
 def new_only(path: str, key: str, order: list[str]) -> Callable[[DataFrame, int], None]:
     """For foreachBatch: appends the first delivery of each message that the table at path doesn't have, however late it comes.
 
-    A batch that runs again after a failure finds its keys stored and adds nothing.
+    For tables that others write to as well, whose keys each batch reads; first_deliveries keeps them itself. A batch
+    that runs again after a failure finds its keys stored and adds nothing.
     """
     def write(batch: DataFrame, _: int) -> None:
         first = first_of_each(batch, key, order)
-        try:
-            stored = batch.sparkSession.read.parquet(path).select(key)
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER" not in str(e):
-                raise
-            stored = batch.limit(0).select(key)
-        first.join(stored, key, "left_anti").write.mode("append").parquet(path)
+        if exists(batch.sparkSession, path):
+            first = first.join(batch.sparkSession.read.schema(batch.schema).parquet(path).select(key), key, "left_anti")
+        first.write.mode("append").parquet(path)
 
     return write
 

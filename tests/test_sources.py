@@ -102,36 +102,94 @@ def test_messages(spark):
     assert [tuple(r) for r in live.parsed(df, "raw", "t").collect()] == [(1.0, "1", "2", "n@S".replace("@S", "/"), "hi/", "3", "4")]
 
 
-def test_messages_are_kept_until_committed():
-    reader = live._Reader({})
+def test_spooled_messages(tmp_path):
+    """More than any buffer holds, read again after a restart, gone once committed."""
+    reader = live._Reader({"spool": str(tmp_path / "s")})
     reader._receive = lambda: [(0.0, str(i)) for i in range(150_000)]
-    _, end = reader.read({"n": 0})
-    assert len([*reader.readBetweenOffsets({"n": 0}, end)]) == 150_000
-    reader.commit({"n": 10})
-    assert [r[1] for r in reader.readBetweenOffsets({"n": 10}, {"n": 12})] == ["10", "11"]
+    assert reader.latestOffset() == {"n": 150_000} and reader.latestOffset() == {"n": 300_000}
+    again = live._Reader({"spool": str(tmp_path / "s")})
+    again._receive = lambda: []
+    assert again.latestOffset() == {"n": 300_000}
+    rows = [r for p in again.partitions({"n": 10}, {"n": 300_000}) for r in again.read(p)]
+    assert len(rows) == 299_990 and rows[0] == (0.0, "10") and rows[149_990] == (0.0, "0")
+    again.commit({"n": 150_000})
+    assert [r[1] for p in again.partitions({"n": 150_000}, {"n": 150_002}) for r in again.read(p)] == ["0", "1"]
+    again.commit({"n": 300_000})
+    assert live._Reader({"spool": str(tmp_path / "s")}).partitions({"n": 300_000}, {"n": 300_000}) == []
     with pytest.raises(ValueError, match="no longer"):
-        reader.readBetweenOffsets({"n": 9}, {"n": 12})
+        again.partitions({"n": 9}, {"n": 12})
+    with pytest.raises(ValueError, match="spool"):
+        live._Reader({})
 
 
-def test_live_stream(spark):
+def message(i):
+    return live.framed(f"type@=chatmsg/rid@=1/uid@=2/nn@=n/txt@=m{i}/cid@={i}/level@=4/")
+
+
+def test_busy_and_closing_connections(tmp_path):
+    """A chat that never pauses ends no batch late, and one that closes in the middle of a message is joined again."""
     server = socket.create_server(("127.0.0.1", 0))
 
     def serve():
         c, _ = server.accept()
-        c.sendall(live.framed("type@=chatmsg/rid@=1/uid@=2/nn@=n/txt@=hi/cid@=3/level@=4/"))
-        time.sleep(15)
+        for i in range(300):
+            c.sendall(message(i))
+        c.sendall(message(300)[:20])
+        c.recv(65536)  # else the end is a reset, which drops what is on its way
+        time.sleep(0.1)
         c.close()
+        c, _ = server.accept()
+        i = 300
+        try:
+            while True:
+                c.sendall(message(i))
+                i += 1
+                time.sleep(0.001)
+        except OSError:
+            pass
+
+    threading.Thread(target=serve, daemon=True).start()
+    reader = live._Reader({"spool": str(tmp_path / "s"), "port": str(server.getsockname()[1]), "wait": "0.3"})
+    began, ends = time.time(), [reader.latestOffset()["n"] for _ in range(8)]
+    assert time.time() - began < 8 and ends == sorted(ends) and ends[-1] > 400
+    rows = [r[1] for p in reader.partitions({"n": 0}, {"n": ends[-1]}) for r in reader.read(p)]
+    assert [r.split("txt@=m")[1].split("/")[0] for r in rows] == [str(i) for i in range(ends[-1])]
+    reader.socket.close()
+    server.close()
+
+
+def test_live_stream(spark, tmp_path):
+    server = socket.create_server(("127.0.0.1", 0))
+
+    def serve():
+        for part in (range(3), range(3, 6)):
+            c, _ = server.accept()
+            for i in part:
+                c.sendall(message(i))
+            time.sleep(0.2)
+            c.recv(65536)  # else the end is a reset, which drops what is on its way
+            c.close()
 
     threading.Thread(target=serve, daemon=True).start()
     spark.dataSource.register(live.LiveChat)
-    stream = spark.readStream.format("livechat").option("port", server.getsockname()[1]).option("hello", "type@=loginreq/").load()
-    q = windows.chat(stream).writeStream.format("memory").queryName("chat").trigger(processingTime="500 milliseconds").start()
+    out = str(tmp_path / "out")
+
+    def started():
+        stream = spark.readStream.format("livechat").option("port", server.getsockname()[1]).option("hello", "type@=loginreq/").option("spool", str(tmp_path / "spool")).load()
+        return windows.chat(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="300 milliseconds").start()
+
+    got = lambda: spark.read.schema("txt string").parquet(out).count() if (tmp_path / "out" / "_spark_metadata").exists() else 0
+    q = started()
     try:
-        for _ in range(60):
-            if spark.sql("SELECT * FROM chat").count():
-                break
-            time.sleep(0.5)
-        assert [r.txt for r in spark.sql("SELECT txt FROM chat").collect()] == ["hi"]
+        for want in (3, 6):
+            for _ in range(60):
+                if got() >= want:
+                    break
+                time.sleep(0.5)
+            q.stop()
+            if want == 3:
+                q = started()
+        assert sorted(r.txt for r in spark.read.parquet(out).collect()) == [f"m{i}" for i in range(6)]
     finally:
         q.stop()
         server.close()
@@ -160,6 +218,9 @@ def test_stream_deliveries(spark, tmp_path):
     q = stream.writeStream.foreachBatch(windows.new_only(out, "event_id", ["ts"])).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.read.parquet(out).count() == e.count() == spark.read.parquet(out).select("event_id").distinct().count()
+    q = windows.first_deliveries(stream, "event_id").writeStream.format("memory").queryName("first").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert spark.sql("SELECT * FROM first").count() == e.count()
     q = windows.once(stream, "event_id", "ts", "60 days").writeStream.format("memory").queryName("once").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.sql("SELECT * FROM once").count() == e.count()
