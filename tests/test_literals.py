@@ -330,6 +330,32 @@ def test_svm_of_maps(spark):
         classify.svm_predict_pooled(df, df, "v", "label", most=5)
 
 
+def test_svm_of_many(spark, monkeypatch):
+    """Machines fitted in tasks give the labels of those that have the whole kernel matrix; over 20,000 rows are no error."""
+    rng = np.random.default_rng(7)
+    x = rng.dirichlet([0.3] * 4, 1500)
+    y = np.where(x[:, 0] + rng.normal(0, 0.2, 1500) > 0.3, 1.0, -1.0)
+    p = classify.Points.of(x)
+    w, b = classify.fit_binary(classify.kernel(p, p, 2.0), y, 1.0)
+    own, v, a = classify.fit_many(p, y, 1.0, 2.0, block=400, kept=0)
+    score, many = classify.kernel(p, p, 2.0) @ w + b, classify.kernel(p, p.some(own), 2.0) @ v + a
+    assert np.abs(score - many).max() < 0.05 and len(own) < 1500
+    df = spark.createDataFrame([(i, [float(z) for z in r], "abc"[int(r.argmax() % 3)]) for i, r in enumerate(x)], "i int, v array<double>, label string")
+    maps = df.withColumn("v", F.map_from_arrays(F.array(*map(F.lit, "pqrs")), "v"))
+    by = lambda d: {r.i: r.predict_label for r in d.collect()}
+    for more in ({}, {"one_vs_rest": True}):
+        whole = by(classify.svm_predict_pooled(df, df, "v", "label", **more))
+        with monkeypatch.context() as few:
+            few.setattr(classify, "WHOLE", 100)
+            for rows in (df, maps):
+                got = by(classify.svm_predict_pooled(rows, rows, "v", "label", **more))
+                assert sum(got[i] != whole[i] for i in whole) <= 5
+    centres = df.where("i < 3").select(F.lit(0.0).alias("z"), F.col("i").cast("double").alias("at"), F.element_at(F.array(*map(F.lit, "abc")), F.col("i") + 1).alias("label"))
+    crowd = centres.crossJoin(spark.range(7000)).select(F.array("at", (F.col("id") % 7) / 100).alias("v"), "label")
+    got = classify.svm_predict_pooled(crowd, crowd.distinct(), "v", "label").collect()
+    assert len(got) == 21 and all(r.predict_label == r.label for r in got)
+
+
 def test_held_out_videos(spark):
     at = [(v, s, "xyx"[s // 30 % 3]) for v in ("p", "q", "r") for s in range(0, 120, 2)]
     c = spark.createDataFrame([(v, s * S, t) for v, s, t in at], "cid string, us bigint, topic string")
