@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hilite.operators.order import positions
@@ -48,15 +48,19 @@ def lloyd(x: np.ndarray, weight: np.ndarray, k: int, *, seed: int = 1, tolerance
         before = error
 
 
-def clusterings(df: DataFrame, cid: str, vector: str, numbers: list[int], *, seed: int = 1) -> DataFrame:
-    """df with columns cluster_num and topic: a row for each of numbers, with the row's cluster from 0 by k-means of its video's vectors in as many clusters.
+def vector_key(vector: Column) -> Column:
+    """A key of 128 bits of a vector, the same for equal ones and null for none; rows are joined by it, so that their vectors need not leave their tasks."""
+    v = vector.cast("array<double>")
+    hashes = F.concat(F.lpad(F.hex(F.xxhash64(v)), 16, "0"), F.lpad(F.hex(F.xxhash64(F.lit(1), v)), 16, "0"))
+    # these hashes pass over null components
+    return F.when(F.size(F.array_compact(v)) == F.size(v), hashes).when(v.isNotNull(), F.md5(v.cast("string")))
 
-    Components are z-scored over a video's rows before. Each video and number is a task that has the video's different
-    vectors, with their counts, in memory. Rows without cid or vector have no clusters and no rows here.
-    """
+
+def clusters_of_keys(df: DataFrame, cid: str, vector: str, numbers: list[int], *, seed: int = 1) -> DataFrame:
+    """(__cid, __key, cluster_num, topic): for each video, different vector by its vector_key and number of clusters, the cluster from 0; see clusterings. A table in the shared folder."""
     rows = df.where(F.col(cid).isNotNull() & F.col(vector).isNotNull()).withColumn("__v", F.col(vector).cast("array<double>"))
-    different = rows.groupBy(F.col(cid).alias("__cid"), F.col("__v").alias("__vector")).agg(F.count(F.lit(1)).cast("double").alias("n"))
-    each = different.withColumn("cluster_num", F.explode(F.array(*map(F.lit, numbers))))
+    different = rows.groupBy(F.col(cid).alias("__cid"), F.col("__v").alias("__vector")).agg(F.count(F.lit(1)).cast("double").alias("n")).withColumn("__key", vector_key(F.col("__vector")))
+    each = written(different, "vectors").withColumn("cluster_num", F.explode(F.array(*map(F.lit, numbers))))
     kind = different.schema["__cid"].dataType.simpleString()
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
@@ -66,10 +70,21 @@ def clusterings(df: DataFrame, cid: str, vector: str, numbers: list[int], *, see
         mean = (x * n[:, None]).sum(0) / n.sum()
         sd = np.sqrt((((x - mean) ** 2) * n[:, None]).sum(0) / n.sum())
         z = np.where(sd > 0, (x - mean) / np.where(sd > 0, sd, 1), 0)
-        return g.assign(topic=lloyd(z, n, int(g["cluster_num"].iloc[0]), seed=seed))[["__cid", "__vector", "cluster_num", "topic"]]
+        return g.assign(topic=lloyd(z, n, int(g["cluster_num"].iloc[0]), seed=seed))[["__cid", "__key", "cluster_num", "topic"]]
+
+    return written(each.groupBy("__cid", "cluster_num").applyInPandas(run, f"__cid {kind}, __key string, cluster_num int, topic int"), "clusters")
 
-    got = each.groupBy("__cid", "cluster_num").applyInPandas(run, f"__cid {kind}, __vector array<double>, cluster_num int, topic int")
-    return rows.join(got, (F.col(cid) == F.col("__cid")) & (F.col("__v") == F.col("__vector"))).select(*df.columns, "cluster_num", "topic")
+
+def clusterings(df: DataFrame, cid: str, vector: str, numbers: list[int], *, seed: int = 1) -> DataFrame:
+    """df with columns cluster_num and topic: a row for each of numbers, with the row's cluster from 0 by k-means of its video's vectors in as many clusters.
+
+    Components are z-scored over a video's rows before. Each video and number is a task that has the video's different
+    vectors, with their counts, in memory. Rows without cid or vector have no clusters and no rows here. Rows meet their
+    clusters by vector_key, so their vectors are shuffled only where the result's are read.
+    """
+    got = clusters_of_keys(df, cid, vector, numbers, seed=seed)
+    rows = df.where(F.col(cid).isNotNull()).withColumn("__own", vector_key(F.col(vector))).where(F.col("__own").isNotNull())
+    return rows.join(got, (F.col(cid) == F.col("__cid")) & (F.col("__own") == F.col("__key"))).select(*df.columns, "cluster_num", "topic")
 
 
 def nearest_centre(df: DataFrame, id_: str, vector: str, centres: list[tuple[int, list[float]]]) -> DataFrame:

@@ -882,7 +882,7 @@ def event_vectors(spark: SparkSession, folder: str) -> DataFrame:
 def pipeline_clusters(spark, folder):
     """The whole run with topics that are clusters of comment vectors."""
     e = event_vectors(spark, folder)
-    items = cluster.clusterings(e, "cid", "v", [20])
+    items = written(cluster.clusterings(e, "cid", "v", [20]).select("cid", "us", "topic"), "items")
     found, _ = pipeline.train_and_evaluate(e, items, intervals(spark), "cid", "us", "topic", pipeline.Method("f", 20), pipeline.Settings(HOUR, 0.4, 0.6, False))
     return found
 

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from itertools import accumulate
 
 import numpy as np
@@ -57,6 +58,20 @@ def test_lloyd():
     assert own[0] == own[1] != own[2] == own[3]
 
 
+def test_clusters_without_vectors(spark):
+    """Rows meet their clusters by a key of their vectors, not by the vectors; equal vectors are one, whatever their zeros and nulls."""
+    rows = [("p", 1, [0.0, 1.0]), ("p", 2, [-0.0, 1.0]), ("p", 3, [9.0, float("nan")]), ("p", 4, None), (None, 5, [1.0, 2.0]), ("q", 6, [None, 1.0]), ("q", 7, [1.0, None])]
+    c = spark.createDataFrame(rows, "cid string, us bigint, v array<double>")
+    found = cluster.clusterings(c, "cid", "v", [2, 3]).select("cid", "us", "cluster_num", "topic")
+    by = re.findall("Join Inner, (.*)", found._jdf.queryExecution().optimizedPlan().toString())
+    assert by and not any("__v" in x for x in by)
+    got = {(r.us, r.cluster_num): r.topic for r in found.collect()}
+    assert sorted(got) == [(us, n) for us in (1, 2, 3, 6, 7) for n in (2, 3)] and found.count() == len(got)
+    assert got[1, 2] == got[2, 2]
+    keys = [r.k for r in c.select(cluster.vector_key(F.col("v")).alias("k")).collect()]
+    assert keys[0] == keys[1] and keys[3] is None and len(set(keys)) == 6
+
+
 def test_parameter_search(spark):
     """Each cell of the search is the run of train_and_evaluate with these clusters and thresholds."""
     rng = np.random.default_rng(4)
