@@ -13,6 +13,7 @@ from hilite.functions.arrays import running_sum
 from hilite.functions.timefmt import cid_of_path, clock_text, play_time_text
 from hilite.operators import classify, clips, cluster, comments, features, rating, tokens, windows
 from hilite.plans import pipeline
+from hilite.session import written
 
 S = 1_000_000
 
@@ -88,6 +89,19 @@ def test_parameter_search(spark):
         assert {r.cid: tuple(r)[4:] for r in got if (r.cluster_num, r.left, r.right) == (number, left, right)} == want
 
 
+def test_parameter_search_joins_counts(spark, monkeypatch):
+    """Comments are counted before they are clustered: not each comment is joined with its cluster for each number, nor any vector."""
+    plans = []
+    monkeypatch.setattr(pipeline, "written", lambda df, name: plans.append((name, df._jdf.queryExecution().optimizedPlan().toString())) or written(df, name))
+    c = spark.createDataFrame([("p", s * S, [float(s // 40 % 2), float(s // 60)]) for s in range(0, 200, 2)], "cid string, us bigint, v array<double>")
+    i = spark.createDataFrame([("p", 3 * S, 43 * S, "a"), ("p", 55 * S, 90 * S, "b")], "cid string, start bigint, end bigint, label string")
+    assert pipeline.parameter_search(c, i, "cid", "us", "v", [2, 3], [0.3], [0.2], pipeline.Settings(10 * S, trim=False)).count() == 2
+    clusters = [p for name, p in plans if name == "clusters"]
+    by = [x for p in clusters for x in re.findall("Join Inner, (.*)", p)]
+    assert clusters and by and not any("__v#" in x for x in by)
+    assert all(re.search(r"Join Inner.*\n *:-.*Aggregate", p) for p in clusters)
+
+
 def test_empty_windows(spark):
     c = comments_at(spark, 1, 35)
     w = windows.tumbling(c, "cid", "us", 10 * S).orderBy("window_index")
