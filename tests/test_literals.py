@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from hilite.functions.arrays import running_sum
 from hilite.functions.timefmt import cid_of_path, clock_text, play_time_text
-from hilite.operators import classify, clips, cluster, comments, features, rating, tokens, windows
+from hilite.operators import classify, clips, cluster, comments, features, rating, tokens, topics, windows
 from hilite.plans import pipeline
 from hilite.session import written
 
@@ -102,6 +102,27 @@ def test_parameter_search_joins_counts(spark, monkeypatch):
     assert all(re.search(r"Join Inner.*\n *:-.*Aggregate", p) for p in clusters)
 
 
+def test_topics_without_driver(spark, monkeypatch):
+    """Where words are many, topics are fitted without MLlib's model, which the driver holds; they part what differs as that does."""
+    rng = np.random.default_rng(3)
+    rows = [("p" if d % 2 else "q", d, f"{'ab'[d % 2]}{w}", float(n)) for d in range(400) for w, n in zip(range(20), rng.integers(0, 4, 20), strict=True) if n]
+    c = spark.createDataFrame(rows, "cid string, window_index bigint, topic string, n double")
+    model = topics.fit_topics(c, ["cid", "window_index"], "topic", "n", topics=2, iterations=40)
+    got = {(r.window_index, r.topic): r.weight for r in model.weights(c, ["cid", "window_index"], "topic", "n").collect()}
+    main = [max((0, 1), key=lambda t: got.get((d, t), 0)) for d in range(400)]
+    assert len(set(main[::2])) == len(set(main[1::2])) == 1 and main[0] != main[1]
+    assert all(abs(sum(got.get((d, t), 0) for t in (0, 1)) - 1) < 0.02 for d in range(400))
+    # digamma(1), trigamma(1)
+    assert abs(topics.digamma(np.ones(1))[0] + 0.5772156649) < 1e-9 and abs(topics.trigamma(np.ones(1))[0] - math.pi**2 / 6) < 1e-8
+    monkeypatch.setattr(topics, "WHOLE", 10)
+    monkeypatch.setattr(pipeline, "fit_lda", lambda *a, **k: pytest.fail("a model that the driver holds"))
+    own = spark.createDataFrame([("p", "x", {"b1": 3.0, "b2": 1.0}), ("q", "y", None)], "cid string, label string, n map<string,double>")
+    weighed, own, _ = pipeline.Method("lda", 2).apply(c, own, "cid")
+    assert weighed.columns == ["cid", "window_index", "topic", "n"] and weighed.select("window_index").distinct().count() == 400
+    found = {r.cid: r.n for r in own.collect()}
+    assert found["q"] is None and abs(sum(found["p"].values()) - 1) < 0.02
+
+
 def test_empty_windows(spark):
     c = comments_at(spark, 1, 35)
     w = windows.tumbling(c, "cid", "us", 10 * S).orderBy("window_index")
