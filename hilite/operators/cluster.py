@@ -84,7 +84,7 @@ def clusterings(df: DataFrame, cid: str, vector: str, numbers: list[int], *, see
     """
     got = clusters_of_keys(df, cid, vector, numbers, seed=seed)
     rows = df.where(F.col(cid).isNotNull()).withColumn("__own", vector_key(F.col(vector))).where(F.col("__own").isNotNull())
-    return rows.join(got, (F.col(cid) == F.col("__cid")) & (F.col("__own") == F.col("__key"))).select(*df.columns, "cluster_num", "topic")
+    return rows.join(got.hint("merge"), (F.col(cid) == F.col("__cid")) & (F.col("__own") == F.col("__key"))).select(*df.columns, "cluster_num", "topic")
 
 
 def nearest_centre(df: DataFrame, id_: str, vector: str, centres: list[tuple[int, list[float]]]) -> DataFrame:

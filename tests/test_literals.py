@@ -123,6 +123,20 @@ def test_topics_without_driver(spark, monkeypatch):
     assert found["q"] is None and abs(sum(found["p"].values()) - 1) < 0.02
 
 
+def test_no_broadcast_of_windows(spark):
+    """Tables read again are small as files, so that they would be broadcast: the runs over words merge them instead."""
+    c = spark.createDataFrame([(v, s * S, "xyx"[s // 30 % 3]) for v in "pq" for s in range(0, 120, 2)], "cid string, us bigint, topic string")
+    i = spark.createDataFrame([(v, a * S, b * S, t) for v in "pq" for a, b, t in ((0, 28, "x"), (31, 58, "y"))], "cid string, start bigint, end bigint, label string")
+    counts, _, _ = pipeline.Method("wordbase").apply(pipeline.window_counts(c, "cid", "us", "topic", 10 * S), i, "cid")
+    best = rating.highlights(written(rating.rate_windows(counts, ["cid", "window_index"], "n", F.col("__words")), "rated"), "cid", 0.3, 0.2)
+    for df in (counts, best):
+        joined = re.findall(r"(?:SortMerge|BroadcastHash)Join [^\n]*", df._jdf.queryExecution().executedPlan().toString())
+        assert any("SortMerge" in x for x in joined)
+        # only the keys over hot_rows are broadcast
+        assert all("__hot" in x for x in joined if "BroadcastHash" in x)
+    assert best.count() > 0
+
+
 def test_empty_windows(spark):
     c = comments_at(spark, 1, 35)
     w = windows.tumbling(c, "cid", "us", 10 * S).orderBy("window_index")
